@@ -40,7 +40,7 @@ def apply_changes(changes: DataFrame, keys: list[str], seq: str | Column, op: st
         base = base.where(k.isNotNull())
     aggs = [F.max("at").alias("last"), F.max(F.when(F.col("at.rank") < 2, F.col("at"))).alias("reset")]
     for i in range(len(fields)):
-        v = F.col(f"v{i}")
+        v = F.when(F.col("at.rank") > 0, F.col(f"v{i}"))  # a delete sets nothing
         order = F.when(v.isNotNull(), F.struct(F.col("at").alias("at"), v.alias("v")))
         aggs.append(F.max_by(F.struct(F.col("at").alias("at"), v.alias("v")), order).alias(f"m{i}"))
     done = base.groupBy(*keys).agg(*aggs)

@@ -50,6 +50,10 @@ def main_parents(links: DataFrame, levels: DataFrame) -> DataFrame:
     return known.groupBy(F.col("revision_id").alias("node")).agg((-F.max(rank)["minus"]).alias("parent"))
 
 
+#: Rows of a round from which hot pointers are looked for; fewer fit one task even if all meet in it.
+SKEW_FROM = 1_000_000
+
+
 def jump(edges: DataFrame, path: bool = False) -> tuple[Cut, int]:
     """Pointer jumping over ``node, parent`` (one non-null parent a node).
 
@@ -64,7 +68,7 @@ def jump(edges: DataFrame, path: bool = False) -> tuple[Cut, int]:
     finished = 0
     while True:
         active = now.df.where(~F.col("done"))
-        hot = hot_keys(active, "ptr")
+        hot = hot_keys(active, "ptr") if total - finished >= SKEW_FROM else []
         above = now.df.select(F.col("node").alias("ptr"), F.struct("ptr", "steps", "done", *(["path"] if path else [])).alias("up"))
         moved = lookup(active, above, "ptr", ["node"], hot)
         up = F.col("up")
