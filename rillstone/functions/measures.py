@@ -70,7 +70,6 @@ def custom(name: str, partial: Callable[[Column], Column], merge: Callable[[Colu
 _MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 
 
-@F.pandas_udf("struct<register int, rank int>")
 def _register(values: pd.Series, registers: pd.Series) -> pd.DataFrame:
     h = values.to_numpy(np.int64).view(np.uint64).copy()
     m = registers.to_numpy(np.int64)
@@ -90,7 +89,8 @@ def registers(df: DataFrame, keys: list[str], value: str, m: int = 1024) -> Data
 
     Null values are ignored. Rows, not arrays: a hot key is up to m rows from each task.
     """
-    r = df.where(F.col(value).isNotNull()).select(*keys, _register(F.col(value).cast("bigint"), F.lit(m).cast("bigint")).alias("r"))
+    register = F.pandas_udf(_register, "struct<register int, rank int>")
+    r = df.where(F.col(value).isNotNull()).select(*keys, register(F.col(value).cast("bigint"), F.lit(m).cast("bigint")).alias("r"))
     return r.groupBy(*keys, F.col("r.register").alias("register")).agg(F.max("r.rank").alias("rank"))
 
 
