@@ -66,8 +66,10 @@ def until(df: DataFrame, stop: Column, order: list[str], by: list[str] | None =
     The place of the first is an aggregate, so no group is put into one task.
     """
     key = F.struct(*order)
-    first = df.where(stop).groupBy(*(by or [])).agg(F.min(key).alias("__stop"))
-    joined = df.join(first, by, "left") if by else df.crossJoin(F.broadcast(first))  # one row
+    if not by:
+        return df.where(F.coalesce(key < df.where(stop).agg(F.min(key)).scalar(), F.lit(True)))
+    first = df.where(stop).groupBy(*by).agg(F.min(key).alias("__stop"))
+    joined = df.join(first, by, "left")
     return joined.where(F.col("__stop").isNull() | (key < F.col("__stop"))).drop("__stop")
 
 

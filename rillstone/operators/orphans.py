@@ -106,7 +106,7 @@ def cascade(links: DataFrame, orphaned: DataFrame) -> DataFrame:
     while True:
         k += 1
         given = ports.df.join(front.select(F.col("node").alias("parent")), "parent", "left_semi").select("part", F.lit(None).cast("bigint").alias("child"), "parent")
-        active = ranged.df if parts == 1 else ranged.df.join(F.broadcast(given.select("part").distinct()), "part", "left_semi")  # part numbers: one in LINKS_PER_RANGE links
+        active = ranged.df if parts == 1 else ranged.df.join(given.select("part"), "part", "left_semi")  # by part, as the groups below
         reached = active.select("part", "child", "parent").unionByName(given).groupBy("part").applyInPandas(_follow, "node bigint")
         new = cut(reached.distinct().join(everything.select("node"), "node", "left_anti").withColumn("round", F.lit(k)), "orphans")
         cuts.append(new)

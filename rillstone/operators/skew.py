@@ -12,12 +12,12 @@ HOT_SHARE = 200
 def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE) -> list:
     """Keys holding more than 1/``share`` of the non-null rows: fewer than ``share`` values, whatever the size.
 
-    Counts are combined before the shuffle, and only the top ``share`` come to the driver.
+    Counts are combined before the shuffle, and only the hot keys come to the driver.
     """
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    every = counts.agg(F.sum("n").alias("total"))
-    top = counts.orderBy(F.desc("n"), key).limit(share).crossJoin(F.broadcast(every)).collect()  # one row of totals
-    return [r[key] for r in top if r["n"] * share > r["total"]]
+    every = counts.agg(F.sum("n")).scalar()
+    rows = counts.where(F.col("n") * share > every).select(key).collect()
+    return sorted(r[key] for r in rows)
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str, spread: list[str], hot: list | None = None) -> DataFrame:

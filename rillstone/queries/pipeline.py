@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillstone.operators import changes, hierarchy, ledger, nested, orphans
-from rillstone.operators.skew import lookup
+from rillstone.operators.skew import hot_keys, lookup
 from rillstone.queries.pipeline_sql import ORACLE  # noqa: F401
 
 
@@ -54,19 +54,16 @@ def _chunk_changes(spark: SparkSession, d: str, fields: tuple[str, ...]) -> Data
     packed = feed.select("revision_id", F.coalesce("parent_id", F.lit(0)).cast("bigint").alias("parent_id"), nested._rows("chunks", nested.log_diffs(F.col("diff"), fields), fields).alias("changes"))
     packed = packed.where(F.size("changes") > 0)
     levels = _levels(spark, d)
-    own = packed.join(levels.select(F.col("id").alias("revision_id"), F.col("level").alias("own")), "revision_id", "left")
+    own = lookup(packed, levels.select(F.col("id").alias("revision_id"), F.col("level").alias("own")), "revision_id", ["parent_id"], hot_links(spark, d, "revision_id"))
     asked = own.withColumn("ask", F.when(F.col("own").isNull(), F.col("parent_id")))
-    hot = changes_hot(spark, d)
-    both = lookup(asked, levels.withColumnRenamed("id", "ask"), "ask", ["revision_id"], hot)
+    both = lookup(asked, levels.withColumnRenamed("id", "ask"), "ask", ["revision_id", "parent_id"], hot_links(spark, d, "parent_id"))
     level = F.coalesce("own", F.col("level") + 1)
     return both.select("revision_id", "parent_id", level.alias("at_level"), F.inline("changes")).where(F.col("at_level").isNotNull())
 
 
-def changes_hot(spark: SparkSession, d: str) -> list:
-    """Parents with many links: counted on the key column alone."""
-    from rillstone.operators.skew import hot_keys
-
-    return hot_keys(table(spark, d, "diffs").select("parent_id"), "parent_id")
+def hot_links(spark: SparkSession, d: str, key: str) -> list:
+    """Revisions or parents with many links: counted on that column alone."""
+    return hot_keys(table(spark, d, "diffs").select(key), key)
 
 
 _SEQ = ("at_level", "revision_id", "parent_id", "diff_no", "op_no")
