@@ -123,11 +123,11 @@ def shares(mixture: DataFrame, sized: DataFrame, targets: DataFrame) -> DataFram
     ``share`` is of the total of all documents with a listed source, ``share_of_mix`` of what the mixture has.
     """
     want = targets.where(F.col("source").isNotNull() & (F.col("weight") > 0)).groupBy("source").agg(F.max(F.col("weight").cast("double")).alias("weight"))
-    sums = want.agg(F.sum("weight").alias("all_weight"))
-    whole = sized.groupBy("doc_id", "source").agg(F.max("n_tokens").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("whole"))
+    all_weight = want.agg(F.sum("weight")).scalar()
+    whole = sized.groupBy("doc_id", "source").agg(F.max("n_tokens").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
     got = mixture.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.countDistinct("doc_id").alias("documents"), F.max("repeat").alias("most_repeats"))
-    reached = got.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("reached"))
-    every = want.crossJoin(F.broadcast(sums)).crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(reached)).join(got, "source", "left")  # three one-row tables
+    reached = got.agg(F.coalesce(F.sum("tokens"), F.lit(0))).scalar()
+    every = want.join(got, "source", "left").withColumns({"all_weight": all_weight, "whole": whole, "reached": reached})
     goal = F.col("weight") / F.col("all_weight")
     tokens_ = F.coalesce("tokens", F.lit(0))
     return every.select(

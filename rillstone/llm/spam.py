@@ -5,7 +5,7 @@ list, tag list or menu by a hidden Markov model, and a page is flagged when
 lines of the last three hold more than half of its words.
 
 The model is trained here, in three steps, on a sample of at most
-``sample_docs`` pages (those with the least hashed ids): plain rules label the
+``sample_docs`` pages and ``sample_bytes`` (those with the least hashed ids): plain rules label the
 lines that are clear; from these come the words' odds of standing in a list and
 the odds of the line features under each label, and the transition counts; a
 second pass labels all lines of the sample with that model and counts again.
@@ -40,6 +40,8 @@ LISTS = (LINKS, TAGS, MENU)
 #: Share of the words in list lines from which a page is flagged.
 SHARE = 0.5
 SAMPLE_DOCS = 3000
+#: The sample's bytes that the driver takes.
+SAMPLE_BYTES = 48 << 20
 
 _URL = re.compile(r"(?:https?://|www\.)[^\s'\"<>|)\]]*|\b[\w-]+(?:\.| dot )(?:example|invalid|test|com|org|net|info|biz|io|ru|cn|de|fr)\b(?:/[^\s'\"<>|)\]]*)?")
 _MAYBE_URL = re.compile(r"://|www\.|\.\w+/| dot ")
@@ -334,14 +336,21 @@ def train(texts: Iterable[str | None], rounds: int = 2) -> Model:
     return model
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """A model from at most ``sample_docs`` pages, the same ones each time: those with the least hashed ids."""
-    order = F.xxhash64(doc_id)
-    ids = docs.where(F.col(doc_id).isNotNull()).select(doc_id).orderBy(order, doc_id).limit(sample_docs)
-    last = ids.agg(F.max(F.xxhash64(doc_id)).alias("h")).collect()[0]["h"]
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """A model from at most ``sample_docs`` pages of together at most ``sample_bytes``, the same ones each time: those with the least hashed ids."""
+    known = docs.where(F.col(doc_id).isNotNull())
+    sizes = known.select(F.xxhash64(doc_id).alias("h"), F.coalesce(F.octet_length(text), F.lit(0)).alias("n")).orderBy("h", "n").limit(sample_docs).collect()
+    total, last = 0, None
+    for r in sizes:
+        total += r["n"]
+        if total > sample_bytes:
+            break
+        last = r["h"]
     if last is None:
         return train([])
-    rows = docs.where(F.col(doc_id).isNotNull() & (order <= last)).select(doc_id, text).orderBy(order, doc_id, text).limit(sample_docs).collect()
+    order = F.xxhash64(doc_id)
+    small = F.coalesce(F.octet_length(text), F.lit(0)) <= sample_bytes  # ids need not be unique
+    rows = known.where((order <= last) & small).select(doc_id, text).orderBy(order, doc_id, text).limit(len(sizes)).collect()
     return train([r[text] for r in rows])
 
 
