@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillstone.operators.datasets import rendezvous
+
 
 def g_counter(slots: DataFrame, key: str = "key", replica: str = "replica", value: str = "value") -> DataFrame:
     """``key, value``: per replica the greatest count seen, summed."""
@@ -76,6 +78,10 @@ class Store:
         """One state per living key, no tombstones."""
         return Store(self.merge, self.read().select(self.states.columns), None, self.key)
 
+    def placed(self, partitions: list[str], copies: int) -> DataFrame:
+        """The states with ``shard``: the partitions that hold a copy of each key. Read after a change of ``partitions``, it is the repartitioning."""
+        return rendezvous(self.states, F.col(self.key), partitions, copies)
+
     @staticmethod
     def cluster(stores: list[Store]) -> Store:
         """All replicas read as one."""

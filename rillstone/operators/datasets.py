@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import reduce as fold
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 # ---- sources and sinks
@@ -52,6 +52,32 @@ def discard(df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
+def cast_to_sorted(df: DataFrame, *keys: str) -> DataFrame:
+    """Fails when read unless each partition is in order of ``keys``; otherwise the rows as they are.
+
+    Nothing is shuffled: neighbours are compared within the partition.
+    """
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
+        for b in batches:
+            if len(b):
+                own = b[list(keys)]
+                both = pd.concat([last, own]) if last is not None else own
+                if not pd.MultiIndex.from_frame(both).is_monotonic_increasing:
+                    raise ValueError(f"a partition isn't sorted by {keys}")
+                last = own.tail(1)
+            yield b
+
+    return df.mapInPandas(check, df.schema)
+
+
+def observe(df: DataFrame, name: str, **aggs: Column) -> tuple[DataFrame, Observation]:
+    """The rows, and an observation of their number and ``aggs`` that is there once they were read."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("items"), *(c.alias(k) for k, c in aggs.items())), seen
+
+
 # ---- rows
 
 

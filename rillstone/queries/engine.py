@@ -12,6 +12,7 @@ from rillstone.functions import measures as M
 from rillstone.functions import predicates as P
 from rillstone.operators import crdt
 from rillstone.operators import datasets as D
+from rillstone.plans import grid
 from rillstone.plans.cube import Attribute, Cube, CubeQuery, Rollup
 from rillstone.scratch import new_dir
 from rillstone.sources import logs
@@ -323,6 +324,18 @@ def splitter_union(spark, d):
     return outs["even"].unionAll(outs["odd"])
 
 
+@query("select l_orderkey, count(*) as lines from lineitem where l_orderkey between 100 and 400 group by l_orderkey")
+def cast_sorted_reduce(spark, d):
+    """Sorted by hand, asserted, and reduced."""
+    s = D.repartition_sort(table(spark, d, "lineitem").where("l_orderkey between 100 and 400").select("l_orderkey"), "l_orderkey", partitions=4)
+    return D.reduce_by(D.cast_to_sorted(s, "l_orderkey"), ["l_orderkey"], lines=F.count(F.lit(1)))
+
+
+@query("select c_custkey, c_name from (select * from customer where c_nationkey < 10 order by c_acctbal desc, c_custkey limit 20 offset 10) union select c_custkey, c_name from customer where c_custkey in (1, 2)")
+def grid_page(spark, d):
+    return grid.page(table(spark, d, "customer"), ["c_custkey", "c_name"], "c_custkey", {"c_nationkey": F.col("c_nationkey") < 10}, {"c_acctbal": False}, 10, 20, [1, 2])
+
+
 # ---- expressions
 
 
@@ -542,10 +555,7 @@ def lsm_ingest_query(spark, d):
 @query(_STORED)
 def lsm_consolidated(spark, d):
     store = _store(spark, d)
-    for name in store.cube.rollups:
-        for i in range(10):
-            if not store.consolidate(name, ("hot", "min_key")[i % 2]):
-                break
+    store.upkeep()
     store.vacuum(0)
     return _stored(store)
 

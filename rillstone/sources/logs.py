@@ -36,12 +36,13 @@ def write_log(df: DataFrame, root: str, partition: Column, at: Column) -> None:
     df.withColumns({"log_partition": partition, "hour": F.date_format(at, "yyyy-MM-dd_HH")}).write.mode("append").partitionBy("log_partition", "hour").parquet(root)
 
 
-def read_log(spark: SparkSession, root: str, partitions: list[str] | None = None, after: dict[str, str] | None = None, upto: str | None = None) -> DataFrame:
+def read_log(spark: SparkSession, root: str, partitions: list[str] | None = None, after: dict[str, str] | None = None, upto: str | None = None, tolerant: bool = False) -> DataFrame:
     """Rows of the log in hours after each partition's position (a partition without one is read whole) up to ``upto``.
 
     Conditions are on partition columns, so other folders aren't opened.
+    ``tolerant`` passes over files that can't be read, such as one cut short.
     """
-    df = spark.read.parquet(root).withColumns({"log_partition": F.col("log_partition").cast("string"), "hour": F.col("hour").cast("string")})
+    df = spark.read.option("ignoreCorruptFiles", str(tolerant).lower()).parquet(root).withColumns({"log_partition": F.col("log_partition").cast("string"), "hour": F.col("hour").cast("string")})
     if partitions is not None:
         df = df.where(F.col("log_partition").isin(partitions))
     for p, hour in (after or {}).items():

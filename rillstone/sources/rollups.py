@@ -206,6 +206,16 @@ class RollupStore:
         self.manifest.commit(Diff({name: self._write(r, merged)}, {name: {f: old[f] for f in files}}), state.version)
         return True
 
+    def upkeep(self, runs: int = 10) -> int:
+        """Consolidates all rollups, hot segment and least key in turn, until nothing is left to do or ``runs`` a rollup are over; the number done."""
+        done = 0
+        for name in self.cube.rollups:
+            for i in range(runs):
+                if not (self.consolidate(name, ("hot", "min_key")[i % 2]) or self.consolidate(name, ("min_key", "hot")[i % 2])):
+                    break
+                done += 1
+        return done
+
     def _files(self) -> list:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/data")
         if not self._fs.exists(p):
