@@ -38,7 +38,8 @@ def lookup(left: DataFrame, right: DataFrame, key: str, spread: list[str], hot:
         is_cold = is_cold & ~F.col(key).isin(hot)
     side = F.when(is_cold, F.lit(1)).otherwise(-1 - F.pmod(F.xxhash64(*spread), F.lit(1000))).cast("int")
     a = left.withColumn("__side", side)
-    b = right.select(F.col(key).alias("__key"), *(F.col(c).alias(f"__cold_{c}") for c in more), F.lit(1).alias("__side2"))
+    one = (F.pmod(F.xxhash64(key), F.lit(1)) + 1).cast("int")  # not a constant: that would be folded, and the spreading with it
+    b = right.select(F.col(key).alias("__key"), *(F.col(c).alias(f"__cold_{c}") for c in more), one.alias("__side2"))
     out = a.join(b, (a["__side"] == b["__side2"]) & (a[key] == b["__key"]), "left")
     kept = [c for c in left.columns if not c.startswith("__hot")]
     return out.select(*kept, *((F.coalesce(F.col(f"__hot_{c}"), F.col(f"__cold_{c}")) if hot else F.col(f"__cold_{c}")).alias(c) for c in more))
