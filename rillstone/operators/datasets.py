@@ -184,6 +184,14 @@ def join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], how: str
     return left.join(right, condition, {"anti": "left_anti", "semi": "left_semi"}.get(how, how))
 
 
+def join_groups(left: DataFrame, right: DataFrame, keys: list[str], joiner: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """A joiner that gives any number of rows for the left and right rows of a key (either may be none), on pandas frames.
+
+    All rows of a key come together: for joiners that no join and expression can say.
+    """
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(joiner, schema)
+
+
 # ---- routing
 
 

@@ -59,6 +59,12 @@ def test_joins(spark):
     assert D.join(left, right, on).count() == 5 and rows(D.join(left, right, on, "anti").select("name")) == [("d",), ("e",)] and D.join(left, right, on, "semi").count() == 3
 
 
+def test_join_groups(spark):
+    a, b = D.of(spark, [(1, 2), (1, 3), (2, 5)], "k int, v int"), D.of(spark, [(1, 10), (3, 7)], "k int, w int")
+    joiner = lambda x, y: pd.DataFrame({"k": [*x["k"], *y["k"]][:1], "s": [int(x["v"].sum() + y["w"].sum())]})
+    assert rows(D.join_groups(a, b, ["k"], joiner, "k int, s int")) == [(1, 15), (2, 5), (3, 7)]
+
+
 def test_until(spark):
     df = D.of(spark, [(1, 1, "a"), (1, 2, "stop"), (1, 3, "b"), (2, 1, "c")], "g int, t int, v string")
     assert rows(D.until(df, F.col("v") == "stop", ["t"], ["g"]).select("g", "v")) == [(1, "a"), (2, "c")]
