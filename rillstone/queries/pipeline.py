@@ -50,15 +50,15 @@ def _chunk_changes(spark: SparkSession, d: str, fields: tuple[str, ...]) -> Data
     """Chunk changes of all links with their order, levels attached."""
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     feed = table(spark, d, "diffs").where(F.col("revision_id").isNotNull() & F.col("diff").isNotNull())
-    # Changes stay packed in one array per link until the level is known: a link goes through one shuffle, not each of its changes.
+    # Changes stay packed in one array per link until the level is known: a link goes through the shuffles, not each of its changes.
     packed = feed.select("revision_id", F.coalesce("parent_id", F.lit(0)).cast("bigint").alias("parent_id"), nested._rows("chunks", nested.log_diffs(F.col("diff"), fields), fields).alias("changes"))
-    packed = packed.where(F.size("changes") > 0)
     levels = _levels(spark, d)
     own = lookup(packed, levels.select(F.col("id").alias("revision_id"), F.col("level").alias("own")), "revision_id", ["parent_id"], hot_links(spark, d, "revision_id"))
     asked = own.withColumn("ask", F.when(F.col("own").isNull(), F.col("parent_id")))
     both = lookup(asked, levels.withColumnRenamed("id", "ask"), "ask", ["revision_id", "parent_id"], hot_links(spark, d, "parent_id"))
     level = F.coalesce("own", F.col("level") + 1)
-    return both.select("revision_id", "parent_id", level.alias("at_level"), F.inline("changes")).where(F.col("at_level").isNotNull())
+    # No condition on the array itself, stated or inferred: it would be pushed down and each document parsed twice.
+    return both.select("revision_id", "parent_id", level.alias("at_level"), F.inline(F.when(level.isNotNull(), F.col("changes"))))
 
 
 def hot_links(spark: SparkSession, d: str, key: str) -> list:
