@@ -59,7 +59,7 @@ _COLUMNS = re.compile(r"\S\s{2,}-?(?:\d|NaN)|\S\s{3,}\S")
 _LOG = re.compile(r"(?:\[?\d+[\]:]\s|/\S+:\d+|\S*(?:Warning|Error|Fault)\b|File \S*/|-{3,}|Traceback|epoch \d|<Figure)")
 _NUMBER = re.compile(r"\d+")
 _TAG = re.compile(r"<[^<>]{0,300}>")
-_END = re.compile(r"[.?!:。？！：]['\")\]]?\s*$")
+_ENDS = frozenset(".?!:。？！：")
 _SENTENCE = re.compile(r"[.?!。？！](?:\s|$)|[。？！]")
 _LIST_SEP = re.compile(r"\s[|;·•»›/-]\s|;\s|,\s|\t")
 _STRING = re.compile(r'"((?:[^"\\]|\\.)*)"')
@@ -127,7 +127,7 @@ def lines(text: str | None) -> list[str]:
 
 def _words(line: str) -> list[str]:
     words = [w.lower() for w in _WORD.findall(line)]
-    if _CJK.search(line):  # no spaces between words: pairs of characters stand for words
+    if not line.isascii() and _CJK.search(line):  # no spaces between words: pairs of characters stand for words
         words = [x for w in words for x in ([w[i : i + 2] for i in range(0, max(1, len(w) - 1))] if _CJK.match(w) else [w])]
     return words
 
@@ -154,9 +154,9 @@ class Line:
         self.log = _LOG.match(line) is not None
         self.digits = len(_NUMBER.findall(plain))
         self.offer = self.digits > 0 and _OFFER.search(plain) is not None
-        pairs = sum(map(bool, map(_CJK.match, self.words))) if _CJK.search(plain) else 0
+        pairs = 0 if plain.isascii() else sum(map(bool, map(_CJK.match, self.words)))
         self.weight = len(self.words) - 0.4 * pairs + self.digits + 5 * self.urls  # an address has some five words
-        self.ends = len(_SENTENCE.findall(plain)) + (1 if _END.search(plain) else 0)
+        self.ends = len(_SENTENCE.findall(plain)) + (plain.rstrip("'\")] \t\r\n")[-1:] in _ENDS)
         self.seps = len(_LIST_SEP.findall(plain))
         self.quoted = plain.count("'") + plain.count('"')
         self.bare = not (self.code or self.digits or self.urls or self.ends or self.quoted or self.columns or "_" in line)
