@@ -324,11 +324,22 @@ def splitter_union(spark, d):
     return outs["even"].unionAll(outs["odd"])
 
 
+def _sorted_lines(spark, d) -> DataFrame:
+    """Lines of each order, from the whole table in the session's partitions."""
+    s = D.repartition_sort(table(spark, d, "lineitem").select("l_orderkey"), "l_orderkey")
+    return D.reduce_by(D.cast_to_sorted(s, "l_orderkey"), ["l_orderkey"], lines=F.count(F.lit(1)))
+
+
 @query("select l_orderkey, count(*) as lines from lineitem where l_orderkey between 100 and 400 group by l_orderkey")
 def cast_sorted_reduce(spark, d):
-    """Sorted by hand, asserted, and reduced."""
-    s = D.repartition_sort(table(spark, d, "lineitem").where("l_orderkey between 100 and 400").select("l_orderkey"), "l_orderkey", partitions=4)
-    return D.reduce_by(D.cast_to_sorted(s, "l_orderkey"), ["l_orderkey"], lines=F.count(F.lit(1)))
+    """The range of orders that the SQL asks for, of the whole table sorted and asserted."""
+    return _sorted_lines(spark, d).where("l_orderkey between 100 and 400")
+
+
+@query("select l_orderkey, count(*) as lines from lineitem group by l_orderkey")
+def cast_sorted_reduce_all(spark, d):
+    """Every order of the table: sorted by hand, asserted, and reduced."""
+    return _sorted_lines(spark, d)
 
 
 @query("select c_custkey, c_name from (select * from customer where c_nationkey < 10 order by c_acctbal desc, c_custkey limit 20 offset 10) union select c_custkey, c_name from customer where c_custkey in (1, 2)")
