@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,27 @@ def read_log(spark: SparkSession, root: str, partitions: list[str] | None = None
     return df.where(F.col("hour") <= upto) if upto else df
 
 
+def files(spark: SparkSession, root: str) -> dict[str, dict[str, str]]:
+    """Partition -> ``hour=.../file`` -> path of the files there are, by listing alone."""
+    out: dict[str, dict[str, str]] = {}
+    for path in map(unquote, spark.read.parquet(root).inputFiles()):
+        part, hour, name = path.rsplit("/", 3)[1:]
+        out.setdefault(unquote(part.removeprefix("log_partition=")), {})[f"{hour}/{name}"] = path
+    return out
+
+
+def hour_of(file: str) -> str:
+    """The hour of a name in ``files``."""
+    return file.split("/")[0].removeprefix("hour=")
+
+
+def read_files(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+    """Rows of exactly these files of the log, whatever else has come meanwhile."""
+    schema = spark.read.parquet(root).schema  # the partitions' types don't depend on which files are read
+    df = spark.read.schema(schema).option("basePath", root).parquet(*paths)
+    return df.withColumns({"log_partition": F.col("log_partition").cast("string"), "hour": F.col("hour").cast("string")})
+
+
 def positions(spark: SparkSession, root: str) -> dict[str, str]:
     """The last hour of each partition: from folder names and file footers alone."""
     rows = spark.read.parquet(root).groupBy(F.col("log_partition").cast("string").alias("p")).agg(F.max(F.col("hour").cast("string")).alias("h")).collect()  # one row a partition

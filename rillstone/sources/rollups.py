@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from rillstone.functions import predicates as P
 from rillstone.plans.cube import Cube, Rollup
 from rillstone.scratch import filesystem
-from rillstone.sources.manifest import Diff, Manifest, State
+from rillstone.sources.manifest import Conflict, Diff, Manifest, State
 
 #: Rows of a chunk, chunks consolidated at once, and overlapping chunks from which ingestion should wait.
 CHUNK_ROWS, MAX_CHUNKS, MAX_OVERLAP = 1_000_000, 1000, 300
@@ -58,17 +58,20 @@ class RollupStore:
             out[s["file"]] = {"measures": measures, "count": s["n"], "min": ends("low"), "max": ends("high"), "ranges": {d: [_plain(s[f"min_{d}"]), _plain(s[f"max_{d}"])] for d in r.dims}, "at": time.time()}
         return out
 
-    def ingest(self, parts: dict[str, DataFrame], positions: dict[str, tuple[Any, Any]] | None = None) -> int:
-        """Adds partial results (of ``Cube.consume``) and log positions in one commit; its version.
+    def ingest(self, parts: dict[str, DataFrame], positions: dict[str, tuple[Any, Any]] | None = None, read: dict[str, list[str]] | None = None) -> int:
+        """Adds partial results (of ``Cube.consume``), log positions and files read in one commit; its version.
 
-        A reader sees all of it or nothing. Raises TooManyOverlaps before writing.
+        A reader sees all of it or nothing. Raises TooManyOverlaps, and Conflict for files read already, before writing.
         """
         state = self.manifest.state()
+        for log, names in (read or {}).items():
+            if state.files.get(log, set()).intersection(names):
+                raise Conflict(f"{log} was read further meanwhile")
         for name in parts:
             if (n := self.overlap(name, state)) > self.max_overlap:
                 raise TooManyOverlaps(f"{name}: {n} chunks overlap")
         added = {name: self._write(self.cube.rollups[name], df) for name, df in parts.items()}
-        return self.manifest.commit(Diff({k: v for k, v in added.items() if v}, {}, positions or {}), state.version)
+        return self.manifest.commit(Diff({k: v for k, v in added.items() if v}, {}, positions or {}, read or {}), state.version)
 
     # ---- reading
 
@@ -257,5 +260,5 @@ class RollupStore:
                 jvm.org.apache.hadoop.fs.FileUtil.copy(self._fs, path(f), fs, path(target), False, conf)
                 chunks.setdefault(name, {})[target] = c
         copy = Manifest(self.spark, to)
-        copy._create(f"{state.version:012d}.snapshot", {"chunks": chunks, "positions": state.positions})
+        copy._create(f"{state.version:012d}.snapshot", state.to_json() | {"chunks": chunks})
         return state.version

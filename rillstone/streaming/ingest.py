@@ -1,4 +1,4 @@
-"""Log rows into rollups, exactly once: positions and chunks are one commit."""
+"""Log rows into rollups, exactly once: files read, positions and chunks are one commit."""
 
 from __future__ import annotations
 
@@ -25,15 +25,32 @@ def _parts(store: RollupStore, rows: DataFrame, consumers: list[Consumer]) -> di
 
 
 def ingest_log(spark: SparkSession, root: str, store: RollupStore, consumers: list[Consumer], log: str, partitions: list[str] | None = None) -> int | None:
-    """Ingests what came since the positions in the store's state; None if nothing did. Run again after a failure, it neither skips nor repeats."""
+    """Ingests the files that came since the store's state; None if none did. Run again after a failure, it neither skips nor repeats.
+
+    The state keeps the names of the files read, so rows appended to an hour that
+    was ingested already, or to one before it, are read too, and what comes
+    between listing and reading is left for the next time. The last hour is kept
+    as position besides. A state that has the position only (written before files
+    were kept) counts the files up to its hour as read.
+    """
     state = store.manifest.state()
-    now = {p: h for p, h in logs.positions(spark, root).items() if partitions is None or p in partitions}
-    before = {p: state.positions.get(f"{log}/{p}") for p in now}
-    new = {p: h for p, h in now.items() if before[p] is None or h > before[p]}
-    if not new:
+    before, after, read, paths = {}, {}, {}, []
+    for p, files in logs.files(spark, root).items():
+        if partitions is not None and p not in partitions:
+            continue
+        key = f"{log}/{p}"
+        at, seen, old = state.positions.get(key), state.files.get(key), []
+        if seen is None:
+            seen = old = [f for f in files if at is not None and logs.hour_of(f) <= at]
+        if not (new := sorted(set(files).difference(seen))):
+            continue
+        before[key], after[key] = at, max([*([at] if at is not None else []), *map(logs.hour_of, new)])
+        read[key] = [*old, *new]
+        paths += [files[f] for f in new]
+    if not paths:
         return None
-    rows = logs.read_log(spark, root, list(new), {p: before[p] for p in new if before[p] is not None}, max(new.values()))
-    return store.ingest(_parts(store, rows, consumers), {f"{log}/{p}": (before[p], h) for p, h in new.items()})
+    rows = logs.read_files(spark, root, paths)
+    return store.ingest(_parts(store, rows, consumers), {k: (before[k], after[k]) for k in after}, read)
 
 
 def stream_into(stream: DataFrame, store: RollupStore, consumers: list[Consumer], name: str, checkpoint: str, once: bool = True) -> StreamingQuery:

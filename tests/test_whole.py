@@ -4,6 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from rillstone.scratch import new_dir
+from rillstone.sources import logs
+from rillstone.sources.manifest import Conflict, Diff, State
+from rillstone.streaming import ingest
 from tests.conftest import DATA
 
 SF = str(DATA / "sf0.001")
@@ -22,3 +26,86 @@ def test_sorted_reduce_sorts_the_whole_table(spark):
     """The range is taken from the result: no condition is left at the scan."""
     plan = entry.queries()["cast_sorted_reduce"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Filter" not in plan[plan.index("MapInPandas") :]
+
+
+# ---- logs
+
+
+def _log(spark):
+    from tests.test_cube import small
+
+    root = new_dir(spark, "log")
+    c, store = small(spark)
+    consumers = [(lambda r: r, {"k": F.col("k"), "s": F.col("s")}, {"n": None, "v": F.col("k")}, None)]
+
+    def write(hour, part, n):
+        logs.write_log(spark.range(n).select(F.col("id").cast("int").alias("k"), F.lit("x").alias("s")), root, F.lit(part), F.lit(f"2024-01-01 {hour:02d}:00:00").cast("timestamp"))
+
+    return root, c, store, write, lambda: ingest.ingest_log(spark, root, store, consumers, "l")
+
+
+def _counts(c):
+    from tests.test_cube import answer
+
+    return [n for _, n, _ in answer(c)]
+
+
+def test_rows_appended_to_an_hour_and_late_rows(spark):
+    root, c, store, write, run = _log(spark)
+    write(2, "a:b", 2)
+    run()
+    write(2, "a:b", 1)
+    write(1, "a:b", 2)
+    assert run() is not None and run() is None
+    assert _counts(c) == [3, 2] and store.manifest.state().positions == {"l/a:b": "2024-01-01_02"}
+    store.manifest.snapshot()
+    assert store.manifest.forget() == 2 and run() is None
+
+
+def test_rows_between_listing_and_reading(spark, monkeypatch):
+    root, c, store, write, run = _log(spark)
+    write(5, "a", 1)
+    write(1, "b", 1)
+    listed = logs.files
+
+    def then_more(*a):
+        found = listed(*a)
+        write(2, "b", 1)
+        return found
+
+    monkeypatch.setattr(logs, "files", then_more)
+    run()
+    monkeypatch.undo()
+    assert _counts(c) == [2]
+    assert run() is not None and run() is None and _counts(c) == [3]
+
+
+def test_files_of_a_diff():
+    a, b = Diff(read={"l": ["1", "2"]}), Diff(read={"l": ["3"]}, unread={"l": ["2"]})
+    assert a.squash(b) == Diff(read={"l": ["1", "3"]}) and a.squash(a.invert()).is_empty() and not a.is_empty()
+    assert Diff.from_json(b.to_json()) == b
+    s = State()
+    s.apply(0, a)
+    with pytest.raises(Conflict):
+        s.apply(1, a)
+
+
+def test_two_readers_of_a_log(spark):
+    root, c, store, write, run = _log(spark)
+    write(1, "a", 1)
+    run()
+    with pytest.raises(Conflict):
+        store.ingest({}, {"l/a": ("2024-01-01_01", "2024-01-01_01")}, {"l/a": list(logs.files(spark, root)["a"])})
+
+
+def test_position_without_files(spark):
+    """A state written before files were kept."""
+    root, c, store, write, run = _log(spark)
+    write(1, "a", 2)
+    store.manifest.commit(Diff(positions={"l/a": (None, "2024-01-01_01")}), -1)
+    assert run() is None
+    write(2, "a", 1)
+    run()
+    write(1, "a", 1)
+    run()
+    assert _counts(c) == [2]
