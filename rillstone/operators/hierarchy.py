@@ -15,6 +15,7 @@ Defined results
       of a node the smallest is used (choose beforehand with ``main_parents``).
     * circular histories: depth -1, root is the smallest id on the circle,
       path is null, and ``on_cycle`` tells circle from what hangs on it.
+      ``whole_paths`` and ``whole_closure`` have these nodes too.
     * a node that is its own parent is a circle of one.
     * empty tables: no rows, same schema. Extra columns are ignored.
 """
@@ -259,6 +260,55 @@ def closure(tree: DataFrame) -> DataFrame:
     return pairs.select("ancestor", "node", (F.col("depth") - F.col("i")).alias("distance"))
 
 
+def _around(edges: DataFrame, tree: DataFrame, want: tuple[str, ...], max_component: int) -> tuple[DataFrame, DataFrame]:
+    """Below circles, where ``tree`` has depth -1: the trees that hang on each circle's nodes, and the circles' nodes.
+
+    The first are ``hierarchies`` with the circles' links cut, so their roots are
+    the circles' nodes. The second have ``top, circle, turn, length``: the
+    circle's smallest id, the steps up to it, and the circle's number of links.
+    """
+    one = edges.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("parent").alias("parent"))
+    stuck = cut(tree.where(F.col("depth") < 0).select("node", "on_cycle", F.col("root").alias("circle")).join(one, "node"), "stuck").df
+    ring = stuck.where("on_cycle")
+    turns = hierarchies(ring.select("node", F.when(F.col("node") != F.col("circle"), F.col("parent")).alias("parent")), max_component=max_component)
+    turns = cut(turns.select(F.col("node").alias("top"), F.col("root").alias("circle"), F.col("depth").alias("turn")), "turns").df
+    lengths = turns.groupBy("circle").agg(F.count(F.lit(1)).alias("length"))
+    hanging = hierarchies(stuck.select("node", F.when(~F.col("on_cycle"), F.col("parent")).alias("parent")), want, max_component)
+    return cut(hanging, "hanging").df, turns.join(lengths, "circle")
+
+
+def whole_paths(edges: DataFrame, max_component: int = MAX_COMPONENT) -> DataFrame:
+    """``node, path, descendants, circle`` of every node, also where its way ends in a circle.
+
+    There ``circle`` is the circle's smallest id, and the path begins where the
+    way leaves the circle, so that of a node on it is the node alone. The
+    descendants of a node on a circle are the circle's other nodes and all that hangs on any of them.
+    """
+    tree = cut(hierarchies(edges, ("path", "descendants"), max_component), "tree").df
+    hanging, ring = _around(edges, tree, ("path", "descendants"), max_component)
+    free = tree.where(F.col("depth") >= 0).select("node", "path", "descendants", F.lit(None).cast("bigint").alias("circle"))
+    sums = hanging.where(F.col("depth") == 0).join(ring.withColumnRenamed("top", "node"), "node").groupBy("circle").agg(F.sum(F.col("descendants") + 1).alias("all"))
+    on = ring.select("top", "circle").join(sums, "circle")
+    placed = lookup(hanging, on.select(F.col("top").alias("root"), "circle", "all"), "root", ["node"])
+    return free.unionByName(placed.select("node", "path", F.when(F.col("depth") > 0, F.col("descendants")).otherwise(F.col("all") - 1).alias("descendants"), "circle"))
+
+
+def whole_closure(edges: DataFrame, max_component: int = MAX_COMPONENT) -> DataFrame:
+    """``ancestor, node, distance``: all descendants of every node, also on and below circles.
+
+    A node on a circle isn't its own descendant; ``distance`` is that of the
+    shortest way. Rows of a circle are as many as its links times the nodes whose
+    way ends in it, which is the result's own size.
+    """
+    tree = cut(hierarchies(edges, ("path",), max_component), "tree").df
+    hanging, ring = _around(edges, tree, ("path",), max_component)
+    below = lookup(hanging.select("node", "root", "depth"), ring.withColumnRenamed("top", "root"), "root", ["node"])
+    members = ring.select(F.col("top").alias("ancestor"), "circle", F.col("turn").alias("from"))
+    pairs = below.join(members, "circle").where(F.col("ancestor") != F.col("root"))  # closure has a circle's node and what hangs on it
+    round_ = pairs.select("ancestor", "node", (F.col("depth") + F.pmod(F.col("turn") - F.col("from"), "length")).alias("distance"))
+    return closure(tree).unionByName(closure(hanging)).unionByName(round_)
+
+
 def circles(edges: DataFrame, max_component: int = MAX_COMPONENT) -> DataFrame:
     """``node, parent, circle``: the links that lie on a circle, ``circle`` being its smallest id. ``parent`` closes it for one of them."""
     tree = hierarchies(edges, max_component=max_component).where("on_cycle").select("node", F.col("root").alias("circle"))

@@ -40,6 +40,17 @@ def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.closure(tree)
 
 
+def p1_paths_all(spark: SparkSession, d: str) -> DataFrame:
+    """Path and number of descendants of each revision, also where its way ends in a circle."""
+    tree = hierarchy.whole_paths(_forest(spark, d))
+    return tree.select(F.col("node").alias("revision_id"), "path", "descendants", F.col("circle").alias("circle_id"))
+
+
+def p1_descendants_all(spark: SparkSession, d: str) -> DataFrame:
+    """All descendants of each revision, as rows, also on and below circles."""
+    return hierarchy.whole_closure(_forest(spark, d))
+
+
 def p1_cycles(spark: SparkSession, d: str) -> DataFrame:
     """The links of circular histories."""
     c = hierarchy.circles(_forest(spark, d))
@@ -144,4 +155,4 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_counts(_report(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_cycles, p2_found, p2_state, p3_found, p3_positions, p3_log_diffs, p3_ops, p3_measures, p3_tags, p4_found, p5_found, p5_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_paths_all, p1_descendants_all, p1_cycles, p2_found, p2_state, p3_found, p3_positions, p3_log_diffs, p3_ops, p3_measures, p3_tags, p4_found, p5_found, p5_report)}

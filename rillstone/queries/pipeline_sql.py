@@ -45,6 +45,23 @@ from (select node, path, unnest(range(1, len(path))) as i from tree where len(pa
 select s.node as revision_id, s.parent as parent_id, l.circle as circle_id from stuck s join low l on l.node = s.node""",
 }
 
+# Each node's way up until it meets a node again; ``seen`` is the way so far.
+_UP = f"""{_FOREST},
+up(node, spot, seen) as (select node, node, [node] from forest union all
+  select u.node, f.parent, list_append(u.seen, f.parent) from up u join forest f on f.node = u.spot where f.parent is not null and not list_contains(u.seen, f.parent))"""
+
+ORACLE |= {
+    "p1_paths_all": f"""with recursive {_UP},
+ring as (select distinct u.node as id from up u join forest f on f.node = u.spot where f.parent = u.node),
+met as (select node, arg_min(seen, len(seen)) as seen, min(spot) as circle from up where spot in (select id from ring) group by node),
+free as (select node, arg_max(seen, len(seen)) as seen from up group by node),
+below as (select spot as node, count(*) as n from up where spot <> node group by spot)
+select f.node as revision_id, list_reverse(coalesce(m.seen, f.seen)) as path, coalesce(b.n, 0)::bigint as descendants, m.circle as circle_id
+from free f left join met m on m.node = f.node left join below b on b.node = f.node""",
+    "p1_descendants_all": f"""with recursive {_UP}
+select spot as ancestor, node, (len(seen) - 1)::bigint as distance from up where spot <> node""",
+}
+
 _DOCS = """raw as (select 'diff' as holder, revision_id, coalesce(parent_id, 0)::bigint as parent_id, diff as t from diffs
   union all select 'snapshot', id, 0::bigint, snapshot from revisions),
 docs as (select distinct holder, revision_id, parent_id, t::json as j from (select * from raw where json_valid(t))),

@@ -1,9 +1,12 @@
 """Queries that do the whole job: no orders, late log rows or descendants left out."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from rillstone.operators import hierarchy as H
 from rillstone.scratch import new_dir
 from rillstone.sources import logs
 from rillstone.sources.manifest import Conflict, Diff, State
@@ -109,3 +112,42 @@ def test_position_without_files(spark):
     write(1, "a", 1)
     run()
     assert _counts(c) == [2]
+
+
+# ---- descendants on and below circles
+
+
+def _ways(parents):
+    """node -> its ancestors by steps, each once."""
+    out = {}
+    for v in parents:
+        seen = [v]
+        while (x := parents.get(seen[-1])) is not None and x not in seen:
+            seen.append(x)
+        out[v] = seen
+    return out
+
+
+@pytest.mark.parametrize("bound", [1_000_000, 3])
+def test_descendants_on_and_below_circles(spark, bound):
+    rng = random.Random(bound)
+    parents = {v: rng.choice([None, rng.randrange(1, v)]) for v in range(2, 20)}
+    parents |= {100: 101, 101: 102, 102: 100, 103: 100, 104: 103, 105: 104, 106: 101, 110: 110, 111: 110, 120: 122, 121: 120, 122: 121, 200: 999}
+    parents |= {v: rng.choice([102, *range(300, v)]) for v in range(300, 320)}
+    ways = _ways(parents)
+    df = spark.createDataFrame([*parents.items()], "node bigint, parent bigint")
+    pairs = [(a, v, i) for v, way in ways.items() for i, a in enumerate(way) if i]
+    assert sorted(map(tuple, H.whole_closure(df, bound).collect())) == sorted(pairs)
+    ring = {v for v, way in ways.items() if parents.get(way[-1]) == v}
+    got = {r["node"]: r for r in H.whole_paths(df, bound).collect()}
+    assert set(got) == set(parents)
+    for v, way in ways.items():
+        met = [i for i, a in enumerate(way) if a in ring]
+        path = way[: met[0] + 1] if met else way
+        assert (got[v]["path"], got[v]["circle"]) == (path[::-1], min((way[i] for i in met), default=None))
+        assert got[v]["descendants"] == sum(a == v for a, _, _ in pairs)
+
+
+def test_whole_hierarchies_of_nothing(spark):
+    df = spark.createDataFrame([], "node bigint, parent bigint")
+    assert H.whole_closure(df).collect() == [] and H.whole_paths(df).collect() == []
