@@ -110,7 +110,7 @@ def _chunks(docs: Column, emit) -> Column:
     )
 
 
-def _rows(table: str, docs: Column, fields: tuple[str, ...]) -> Column:
+def _rows(table: str, docs: Column, fields: tuple[str, ...], tags: bool = False) -> Column:
     big = lambda c: c.cast("bigint")
     if table == "log_diffs":
         return _each(docs, lambda x, d: F.when(x["is_object"], F.array(F.struct(big(d).alias("diff_no"), x["bare"].alias("bare"), F.size(F.coalesce(x["positions"], F.array())).alias("n_positions"), F.size(F.coalesce(x["ops"], F.array())).alias("n_ops")))))
@@ -124,7 +124,7 @@ def _rows(table: str, docs: Column, fields: tuple[str, ...]) -> Column:
         return _each(docs, lambda x, d: _each(x["ops"], lambda op, o: F.transform(F.map_entries(op), lambda m: F.struct(big(d).alias("diff_no"), big(o).alias("op_no"), m["key"].alias("aggregation"), F.size(F.coalesce(m["value"]["added"], F.array())).alias("n_added"), F.size(F.coalesce(m["value"]["removed"], F.array())).alias("n_removed")))))
     head = lambda d, o, a, ch, n, c: (big(d).alias("diff_no"), big(o).alias("op_no"), a.alias("aggregation"), ch.alias("change"), big(n).alias("entry_no"), c["id"].alias("chunk_id"))
     if table == "chunks":
-        more = lambda c: [c[f].alias(f) for f in fields if f not in ("id", "meta")] + ([c["meta"]["node"].alias("node")] if "meta" in fields else [])
+        more = lambda c: [c[f].alias(f) for f in fields if f not in ("id", "meta")] + ([c["meta"]["node"].alias("node")] if "meta" in fields else []) + ([c["meta"]["tags"].alias("tags")] if tags else [])
         return _chunks(docs, lambda *x: F.array(F.struct(*head(*x), *more(x[-1]))))
     if table == "measures":
         return _chunks(docs, lambda *x: F.transform(x[-1]["measures"], lambda m, i: F.struct(*head(*x), big(i).alias("measure_no"), m.alias("measure"))))

@@ -62,7 +62,7 @@ def _chunk_changes(spark: SparkSession, d: str, fields: tuple[str, ...]) -> Data
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     feed = table(spark, d, "diffs").where(F.col("revision_id").isNotNull() & F.col("diff").isNotNull())
     # Changes stay packed in one array per link until the level is known: a link goes through the shuffles, not each of its changes.
-    packed = feed.select("revision_id", F.coalesce("parent_id", F.lit(0)).cast("bigint").alias("parent_id"), nested._rows("chunks", nested.log_diffs(F.col("diff"), fields), fields).alias("changes"))
+    packed = feed.select("revision_id", F.coalesce("parent_id", F.lit(0)).cast("bigint").alias("parent_id"), nested._rows("chunks", nested.log_diffs(F.col("diff"), fields), fields, "meta" in fields).alias("changes"))
     levels = _levels(spark, d)
     own = lookup(packed, levels.select(F.col("id").alias("revision_id"), F.col("level").alias("own")), "revision_id", ["parent_id"], hot_links(spark, d, "revision_id"))
     asked = own.withColumn("ask", F.when(F.col("own").isNull(), F.col("parent_id")))
@@ -84,7 +84,7 @@ def _alive(spark: SparkSession, d: str, fields: tuple[str, ...]) -> DataFrame:
     c = _chunk_changes(spark, d, fields)
     seq = F.struct(*_SEQ, F.when(F.col("change") == "removed", 0).otherwise(1).alias("added"))
     op = F.when(F.col("change") == "removed", changes.DELETE).otherwise("upsert")
-    values = ["revision_id", *(f for f in fields if f != "id")]
+    values = ["revision_id", *(f for f in fields if f not in ("id", "meta")), *(("node", "tags") if "meta" in fields else ())]
     c = c.withColumn("last_revision", F.col("revision_id"))
     return changes.apply_changes(c, ["chunk_id"], seq, op, ["last_revision", *values[1:]]).withColumnRenamed("last_revision", "revision_id")
 
@@ -100,6 +100,15 @@ def p2_state(spark: SparkSession, d: str) -> DataFrame:
     return s.select("chunk_id", "revision_id", F.array_join("min", "|").alias("min_key"), F.array_join("max", "|").alias("max_key"), F.col("count").alias("n_rows"))
 
 
+def p2_state_all(spark: SparkSession, d: str) -> DataFrame:
+    """The table of chunks alive with every field; tags by their keys and values, in order."""
+    s = _alive(spark, d, tuple(nested.CHUNK_FIELDS))
+    return s.select(
+        "chunk_id", "revision_id", F.array_join("min", "|").alias("min_key"), F.array_join("max", "|").alias("max_key"), F.col("count").alias("n_rows"),
+        "measures", "node", F.col("tags.k").alias("tag_keys"), F.col("tags.v").alias("tag_values"),
+    )
+
+
 def _documents(spark: SparkSession, d: str) -> list[tuple[DataFrame, str]]:
     feed = table(spark, d, "diffs").select(F.lit("diff").alias("holder"), "revision_id", F.coalesce("parent_id", F.lit(0)).cast("bigint").alias("parent_id"), F.col("diff").alias("doc"))
     held = table(spark, d, "revisions").select(F.lit("snapshot").alias("holder"), F.col("id").alias("revision_id"), F.lit(0).cast("bigint").alias("parent_id"), F.col("snapshot").alias("doc"))
@@ -155,4 +164,4 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_counts(_report(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_paths_all, p1_descendants_all, p1_cycles, p2_found, p2_state, p3_found, p3_positions, p3_log_diffs, p3_ops, p3_measures, p3_tags, p4_found, p5_found, p5_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_paths_all, p1_descendants_all, p1_cycles, p2_found, p2_state, p2_state_all, p3_found, p3_positions, p3_log_diffs, p3_ops, p3_measures, p3_tags, p4_found, p5_found, p5_report)}

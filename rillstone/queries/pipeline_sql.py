@@ -95,6 +95,18 @@ kept as (select o.*, case when json_type(c, '$.min') = 'ARRAY' then array_to_str
 select chunk_id, arg_max(revision_id, seq) as revision_id,
   arg_max(mn, row(seq, mn)) filter (where mn is not null) as min_key, arg_max(mx, row(seq, mx)) filter (where mx is not null) as max_key,
   arg_max(n, row(seq, n)) filter (where n is not null) as n_rows from kept group by chunk_id""",
+    "p2_state_all": f"""with {_ORDERED},
+cut as (select chunk_id, max(seq) as last, max(seq) filter (where change = 'removed') as gone from ordered group by chunk_id),
+kept as (select o.*, case when json_type(c, '$.min') = 'ARRAY' then array_to_string(json_extract_string(c, '$.min[*]'), '|') end as mn,
+    case when json_type(c, '$.max') = 'ARRAY' then array_to_string(json_extract_string(c, '$.max[*]'), '|') end as mx, try_cast(json_extract_string(c, '$.count') as bigint) as n,
+    case when json_type(c, '$.measures') = 'ARRAY' then json_extract_string(c, '$.measures[*]') end as ms, json_extract_string(c, '$.meta.node') as nd,
+    case when json_type(c, '$.meta.tags') = 'ARRAY' then list_transform(json_extract(c, '$.meta.tags[*]'), lambda t: row(json_extract_string(t, '$.k'), json_extract_string(t, '$.v'))) end as tg
+  from ordered o join cut k using (chunk_id) where (k.gone is null or o.seq > k.gone) and k.last is distinct from k.gone),
+whole as (select chunk_id, arg_max(revision_id, seq) as revision_id,
+  arg_max(mn, row(seq, mn)) filter (where mn is not null) as min_key, arg_max(mx, row(seq, mx)) filter (where mx is not null) as max_key,
+  arg_max(n, row(seq, n)) filter (where n is not null) as n_rows, arg_max(ms, row(seq, ms)) filter (where ms is not null) as measures,
+  arg_max(nd, row(seq, nd)) filter (where nd is not null) as node, arg_max(tg, row(seq, tg)) filter (where tg is not null) as tags from kept group by chunk_id)
+select * exclude (tags), list_transform(tags, lambda t: t[1]) as tag_keys, list_transform(tags, lambda t: t[2]) as tag_values from whole""",
     "p3_found": f"with {_DOCS} select distinct {_HEAD} from chunks where chunk_id is not null",
     "p3_positions": f"""with {_DOCS} select distinct holder, revision_id, parent_id, diff_no, i::bigint as position_no, json_extract_string(p, '$.log') as log,
   json_extract_string(p, '$.from[0]') as from_file, try_cast(json_extract_string(p, '$.from[1]') as bigint) as from_remainder, try_cast(json_extract_string(p, '$.from[2]') as bigint) as from_position,

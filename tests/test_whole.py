@@ -151,3 +151,14 @@ def test_descendants_on_and_below_circles(spark, bound):
 def test_whole_hierarchies_of_nothing(spark):
     df = spark.createDataFrame([], "node bigint, parent bigint")
     assert H.whole_closure(df).collect() == [] and H.whole_paths(df).collect() == []
+
+
+def test_chunks_alive_with_every_field(spark, tmp_path):
+    """Changes that set only measures or meta are seen."""
+    first = '[{"ops":[{"daily":{"added":[{"id":1,"count":3,"measures":["m"],"meta":{"node":"n","tags":[{"k":"a","v":"b"}]}}]}}]}]'
+    then = '[{"ops":[{"daily":{"added":[{"id":1,"measures":["x","y"],"meta":{"tags":[{"k":"c","v":null},{"k":"d","v":"e"}]}}]}}]}]'
+    spark.createDataFrame([(1, None, first), (2, 1, then)], "revision_id bigint, parent_id bigint, diff string").write.parquet(f"{tmp_path}/diffs.parquet")
+    spark.createDataFrame([(1, 1, "INNER"), (2, 2, "INNER")], "id bigint, level bigint, type string").write.parquet(f"{tmp_path}/revisions.parquet")
+    spark.createDataFrame([], "id bigint, level bigint").write.parquet(f"{tmp_path}/revisions_backup.parquet")
+    got = entry.queries()["p2_state_all"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == [(1, 2, None, None, 3, ["x", "y"], "n", ["c", "d"], [None, "e"])]
