@@ -42,6 +42,8 @@ SHARE = 0.5
 SAMPLE_DOCS = 3000
 #: The sample's bytes that the driver takes.
 SAMPLE_BYTES = 48 << 20
+#: A page of more than this part of the sample's bytes isn't sampled.
+LARGE_SHARE = 16
 
 _URL = re.compile(r"(?:https?://|www\.)[^\s'\"<>|)\]]*|\b[\w-]+(?:\.| dot )(?:example|invalid|test|com|org|net|info|biz|io|ru|cn|de|fr)\b(?:/[^\s'\"<>|)\]]*)?")
 _MAYBE_URL = re.compile(r"://|www\.|\.\w+/| dot ")
@@ -337,20 +339,23 @@ def train(texts: Iterable[str | None], rounds: int = 2) -> Model:
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """A model from at most ``sample_docs`` pages of together at most ``sample_bytes``, the same ones each time: those with the least hashed ids."""
-    known = docs.where(F.col(doc_id).isNotNull())
-    sizes = known.select(F.xxhash64(doc_id).alias("h"), F.coalesce(F.octet_length(text), F.lit(0)).alias("n")).orderBy("h", "n").limit(sample_docs).collect()
-    total, last = 0, None
+    """A model from at most ``sample_docs`` pages of together at most ``sample_bytes``, the same ones each time: those with the least hashed ids.
+
+    Pages of more than 1/LARGE_SHARE of the bytes are passed over, so that no few of them are the whole sample.
+    """
+    size = F.coalesce(F.octet_length(text), F.lit(0))
+    known = docs.where(F.col(doc_id).isNotNull() & (size <= sample_bytes // LARGE_SHARE))
+    sizes = known.select(F.xxhash64(doc_id).alias("h"), size.alias("n")).orderBy("h", "n").limit(sample_docs).collect()
+    total, taken, last = 0, 0, None
     for r in sizes:
         total += r["n"]
         if total > sample_bytes:
             break
-        last = r["h"]
+        taken, last = taken + 1, r["h"]
     if last is None:
         return train([])
     order = F.xxhash64(doc_id)
-    small = F.coalesce(F.octet_length(text), F.lit(0)) <= sample_bytes  # ids need not be unique
-    rows = known.where((order <= last) & small).select(doc_id, text).orderBy(order, doc_id, text).limit(len(sizes)).collect()
+    rows = known.where(order <= last).select(doc_id, text).orderBy(order, doc_id, text).limit(taken).collect()  # ids need not be unique
     return train([r[text] for r in rows])
 
 
