@@ -256,6 +256,13 @@ def inverted_index(spark, d):
     return table(spark, d, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("word")).groupBy("word").agg(m.partial(F.col("p_partkey")).alias("parts"))
 
 
+@query(r"""select distinct word, doc_id from (select doc_id, unnest(string_split_regex(text, '[ \t\r\n]+')) as word from documents) where word <> ''""")
+def inverted_index_documents(spark, d):
+    """Postings of whole texts as rows, so that no row or task holds all documents of a common word."""
+    words = F.split("text", r"[ \t\r\n]+")
+    return D.flat_map(table(spark, d, "documents"), words, "word", ["doc_id"]).where("word <> ''").select("word", "doc_id").distinct()
+
+
 # ---- order, routing
 
 

@@ -162,3 +162,10 @@ def test_chunks_alive_with_every_field(spark, tmp_path):
     spark.createDataFrame([], "id bigint, level bigint").write.parquet(f"{tmp_path}/revisions_backup.parquet")
     got = entry.queries()["p2_state_all"](spark, str(tmp_path)).collect()
     assert [tuple(r) for r in got] == [(1, 2, None, None, 3, ["x", "y"], "n", ["c", "d"], [None, "e"])]
+
+
+def test_postings_of_whole_texts(spark, tmp_path):
+    rows = [(1, "the cat\n the  dog"), (2, "the\tend"), (3, None), (4, ""), (5, " the ")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["inverted_index_documents"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [("cat", 1), ("dog", 1), ("end", 2), ("the", 1), ("the", 2), ("the", 5)]
