@@ -712,6 +712,20 @@ def page_rank_10(spark, d):
     return D.page_rank(pages, 10).select("page", F.round("rank", 9).alias("rank"))
 
 
+_STEPS = ",\n".join(f"s{i + 1} as materialized (select l.link as page, sum(s.rank / n.n) as rank from links l join n using (page) join s{i} s using (page) group by l.link)" for i in range(10))
+
+
+@query(f"""with links as materialized (select distinct revision_id as page, parent_id as link from diffs where revision_id is not null and parent_id is not null),
+n as materialized (select page, count(*) as n from links group by page), s0 as materialized (select page, 1.0::double as rank from n),
+{_STEPS}
+select page, round(rank, 9) as rank from s10""")
+def page_rank_links(spark, d):
+    """Ten steps over the graph of all revisions and their parents."""
+    links = table(spark, d, "diffs").where("revision_id is not null and parent_id is not null")
+    pages = links.groupBy(F.col("revision_id").alias("page")).agg(F.collect_set("parent_id").alias("links"))
+    return D.page_rank(pages, 10).select("page", F.round("rank", 9).alias("rank"))
+
+
 # ---- flagship
 
 

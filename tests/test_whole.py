@@ -169,3 +169,11 @@ def test_postings_of_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = entry.queries()["inverted_index_documents"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [("cat", 1), ("dog", 1), ("end", 2), ("the", 1), ("the", 2), ("the", 5)]
+
+
+@tables
+def test_page_rank_over_a_table(spark):
+    """What has no links gives nothing on, so after ten steps only pages ten links up are left, with less in all."""
+    pages = spark.read.parquet(f"{SF}/diffs.parquet").where("parent_id is not null").select("revision_id").distinct().count()
+    got = entry.queries()["page_rank_links"](spark, SF).collect()
+    assert len(got) > 3 and 0 < sum(r["rank"] for r in got) <= pages
