@@ -1,12 +1,14 @@
 """Shared scratch space: cuts lineage by writing a table all executors can read again.
 
-The folder is ``spark.checkpoint.dir`` of the session; only where that is unset
-(tests, a laptop) a local folder is used and set.
+The folder is ``spark.checkpoint.dir`` of the session. Only where that is unset and
+the driver is the only machine (tests, a laptop) a local folder is used and set; on
+a cluster its absence is an error.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -16,9 +18,12 @@ _made: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session."""
+    """The shared folder named by the session. Raises RuntimeError if none is named and there are executors besides the driver."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir isn't set; with master {master} it must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="rillstone-")
         spark.conf.set("spark.checkpoint.dir", base)
         _made[base] = spark

@@ -5,7 +5,8 @@ import datetime as dt
 import pytest
 
 from rillstone.operators import ledger as L
-from rillstone.scratch import new_dir
+from rillstone.scratch import filesystem, new_dir
+from rillstone.sources import atomic
 
 T0 = dt.datetime(2024, 1, 1)
 ROWS = "id bigint, level bigint, snapshot string, type string, timestamp timestamp_ntz, created_by string, loaded_at timestamp_ntz, run_id bigint"
@@ -71,9 +72,10 @@ def test_runs(spark, per_item):
     assert got == WANT
 
 
-@pytest.mark.parametrize("at", ["leased", "state", "written", "done"])
-def test_failures_skip_and_repeat_nothing(spark, at):
+@pytest.mark.parametrize("at", ["leased", "written", "merged", "done"])
+def test_failures_skip_and_repeat_nothing(spark, monkeypatch, at):
     source, runs = data(spark)
+    monkeypatch.setattr(L, "ITEMS_PER_BASE", 1)
     root, left = new_dir(spark, "ledger"), [2]
 
     def fail(step, lease):
@@ -101,3 +103,87 @@ def test_empty(spark):
     source, runs = data(spark)
     assert L.process_runs(source.limit(0), runs, *ARGS).collect() == []
     assert L.process_runs(source, runs.limit(0), *ARGS).collect() == []
+
+
+class Faults:
+    """Fails at the ``at``-th publication, before or after it, once."""
+
+    def __init__(self, monkeypatch, at, after):
+        self.left, self.after, self.real = at, after, atomic.publish
+        monkeypatch.setattr(atomic, "publish", self)
+
+    def __call__(self, *args):
+        self.left -= 1
+        if not self.left and not self.after:
+            raise RuntimeError("lost")
+        out = self.real(*args)
+        if not self.left:
+            raise RuntimeError("lost")
+        return out
+
+
+def test_lost_at_every_publication(spark, monkeypatch):
+    """Items, leases, outputs, merged tables, states and marks: a processor lost before or after any of them is followed by one that ends right."""
+    source, runs = data(spark)
+    source = source.coalesce(1)
+    monkeypatch.setattr(L, "ITEMS_PER_BASE", 2)
+    real, at = atomic.publish, 0
+    while True:
+        at += 1
+        root, lost = new_dir(spark, "ledger"), True
+        faults = Faults(monkeypatch, at, at % 2 == 0)
+        try:
+            out = L.process_runs(source, runs, *ARGS, root=root, runs_per_item=3, lease_seconds=0)
+            lost = False
+        except RuntimeError:
+            pass
+        monkeypatch.setattr(atomic, "publish", real)
+        if lost:
+            out = L.process_runs(source, runs, *ARGS, root=root, runs_per_item=3, lease_seconds=0)
+        assert sorted(map(tuple, out.collect())) == WANT
+        if not lost:
+            assert faults.left > 0 and at > 10
+            break
+
+
+def test_an_item_never_added_can_be_added(spark):
+    w = L.WorkLedger(spark, new_dir(spark, "ledger"))
+    fs, p = filesystem(spark, f"{w.root}/items.tmp/a.000000000-lost")
+    fs.create(p, False).close()
+    assert w.items() == [] and w.add("a") and w.items() == ["a"] and w.state("a") == L.PENDING
+
+
+def test_two_publishers(spark, monkeypatch):
+    """The second finds the path taken: nothing is nested in the first's output."""
+    now = [0.0]
+    w = L.WorkLedger(spark, new_dir(spark, "ledger"), clock=lambda: now[0])
+    w.add("a")
+    one = w.lease("p", 10)
+    monkeypatch.setattr(w, "has_output", lambda *_: False)
+    path = w.publish(one, spark.range(3))
+    assert w.publish(one, spark.range(5)) == path
+    assert spark.read.option("recursiveFileLookup", "true").parquet(path).count() == 3
+
+
+def test_done_items_arent_opened(spark, monkeypatch):
+    source, runs = data(spark)
+    root = new_dir(spark, "ledger")
+    L.process_runs(source, runs, *ARGS, root=root, runs_per_item=1)
+    opened, real = [], atomic.get
+    monkeypatch.setattr(atomic, "get", lambda s, p: opened.append(p) or real(s, p))
+    again = L.process_runs(source, runs, *ARGS, root=root, runs_per_item=1, only_new=True)
+    assert again.collect() == [] and len(opened) == 1
+
+
+def test_a_run_that_comes_late_repeats_nothing(spark):
+    source, runs = data(spark)
+    root = new_dir(spark, "ledger")
+    first = sorted(map(tuple, L.process_runs(source, runs.where("run_id <> 3"), *ARGS, root=root).collect()))
+    assert sorted(map(tuple, L.process_runs(source, runs, *ARGS, root=root).collect())) == first == [(1, 1), (4, 1), (4, 2), (4, 3)]
+
+
+def test_long_texts_are_told_apart(spark):
+    long = "x" * 5000
+    rows = [(1, 1, long + "a", "HEAD", h(0), None, h(1), 7), (1, 1, long + "b", "HEAD", h(2), None, h(3), 7), (1, 1, long + "b", "HEAD", h(3), None, h(4), 7)]
+    runs = spark.createDataFrame([(1, "ok", h(1)), (2, "ok", h(3)), (3, "ok", h(4))], RUNS)
+    assert sorted(map(tuple, L.process_runs(spark.createDataFrame(rows, ROWS), runs, *ARGS, runs_per_item=1).collect())) == [(1, 1), (2, 1)]
