@@ -409,7 +409,10 @@ _encoders: dict[tuple[str, str], Encoder] = {}
 
 
 def _encoder(vocabulary: str, folder: str) -> Encoder:
-    return _encoders.setdefault((vocabulary, folder), Encoder(vocabulary, folder))
+    key = (vocabulary, folder)
+    if key not in _encoders:
+        _encoders[key] = Encoder(vocabulary, folder)
+    return _encoders[key]
 
 
 def valid_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -432,7 +435,7 @@ def valid_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets
 
 
-def _bounded(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def bounded(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of ``batch`` with some ``limit`` bytes of text each; one document is never split."""
     size = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     part = np.cumsum(size) // limit
@@ -453,7 +456,7 @@ def encode(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
 
         enc = _encoder(vocabulary, folder)
         for whole in batches:
-            for batch in _bounded(whole, len(keep)):
+            for batch in bounded(whole, len(keep)):
                 raw, offsets = valid_bytes(batch.column(len(keep)))
                 ids, by_doc, begin, lens = enc.encode(raw, offsets)
                 out = [batch.column(i) for i in range(len(keep))]

@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 
+from rillstone.llm import lines as L
 from rillstone.llm import spam as S
 
 GOODS = ["garden lamp", "phone case", "running shoes", "slim tea", "vpn offer"]
@@ -78,7 +79,7 @@ def pages(seed, n):
 
 @pytest.fixture(scope="module")
 def model():
-    return S.train(t for t, _ in pages(1, 400))
+    return S.train([t for t, _ in pages(1, 400)])
 
 
 def test_held_out_accuracy(model):
@@ -93,21 +94,64 @@ def test_odd_texts(model):
     broken = notebook([bad(random.Random(0), "keywords")])[:-40]
     assert model.shares([broken])[0] > S.SHARE
     assert model.shares(["buy cheap garden lamp " * 50_000])[0] > S.SHARE
-    assert S.lines("iVBORw0KGgoAAAANSUhEUgAAB" * 50) == []
+    assert model.shares(["iVBORw0KGgoAAAANSUhEUgAAB1" * 50]) == [0.0] and L.read(["iVBORw0KGgoAAAANSUhEUgAAB1" * 50]).weight.tolist() == [0.0]
     assert S.train([]).shares(["a b c"]) is not None
 
 
 def test_viterbi_is_the_best_path(model):
-    for text, _ in itertools.islice(pages(3, 30), 30):
-        p = S.page(text)
-        p = tuple(x[:5] for x in p)
-        if not p[0]:
+    done = 0
+    for text, _ in pages(3, 60):
+        x = L.read([text])
+        seen = S.observe(x, S.words_of(x), model.odds)
+        if not 0 < len(seen) <= 6:
             continue
-        seen = [S.observe(x, r, y, model.odds) for x, r, y in zip(*p, strict=True)]
-        cost = [sum(e[:, v] for e, v in zip(model.emit, o, strict=True)) for o in seen]
+        done += 1
+        cost = model.costs(x, seen)
         score = lambda path: model.first[path[0]] + cost[0][path[0]] + sum(model.move[a, b] + c[b] for a, b, c in zip(path, path[1:], cost[1:], strict=False))  # noqa: E731, B023
         best = max(score(q) for q in itertools.product(range(S.STATES), repeat=len(cost)))
-        assert np.isclose(score(model.labels([p])[0].tolist()), best)
+        assert np.isclose(score(model.states(x, seen).tolist()), best)
+    assert done >= 3
+
+
+def test_a_page_is_labelled_alike_in_any_company(model):
+    texts = [t for t, _ in pages(4, 40)] + [None, ""]
+    assert model.shares(texts) == pytest.approx([model.shares([t])[0] for t in texts])
+
+
+def test_nothing_depends_on_a_beginning(model):
+    """A notebook is one however much stands before its cells, and a long tag or address is taken whole."""
+    cells = json.loads(notebook([bad(random.Random(1), "keywords"), sentence(random.Random(1))]))
+    plain, late = json.dumps(cells), json.dumps({"about": "x " * 4000} | cells)
+    assert L.page_text(late) == L.page_text(plain) and model.shares([late]) == model.shares([plain])
+    long = "https://shop.example/" + "cheap/" * 2000
+    x = L.read([f"<a href='{long}'>buy</a>"])
+    assert x.links.tolist() == [1] and x.words.tolist() == [4]
+
+
+def test_seeds_are_no_feature(model):
+    """The model takes lines that no seed speaks of, and overrules seeds."""
+    x = L.read([t for t, _ in pages(6, 200)])
+    w = S.words_of(x)
+    seed, state = S.seeds(x, w), model.states(x, S.observe(x, w, model.odds))
+    assert (S.LABEL[state[seed < 0]] != S.PROSE).any() and (S.LABEL[state[seed >= 0]] != S.LABEL[seed[seed >= 0]]).any()
+
+
+def test_counts_of_lines():
+    x = L.read(["see http://a.b/c, [x](shop.example/y) and name-one.com\n#tag @tag a-b\n\n  \n# %% [x]\nprice K-123 | 12.50 USD. Don't 5%\ndf = f(x) + [1]", None, "", "日本語の文。", "1. a.  12\n  b"])
+    assert x.doc.tolist() == [0, 0, 0, 0, 3, 4, 4]
+    assert x.words.tolist() == [6, 4, 5, 3, 5, 1, 1] and x.wide.tolist() == [0, 0, 0, 0, 5, 0, 0]
+    assert x.links.tolist() == [2, 0, 0, 0, 0, 0, 0] and x.hosts.tolist() == [1, 0, 0, 0, 0, 0, 0]
+    assert x.tags.tolist() == [0, 2, 0, 0, 0, 0, 0] and x.prices.tolist() == [0, 0, 2, 0, 0, 0, 0] and x.goods.tolist() == [0, 0, 1, 0, 0, 0, 0]
+    assert x.ends.tolist() == [0, 0, 1, 0, 1, 1, 0] and x.gaps.tolist() == [0, 0, 0, 0, 0, 1, 0] and x.code.tolist()[3] == 5
+
+
+def test_long_texts_are_read_in_parts(monkeypatch):
+    texts = ["\n".join(sentence(random.Random(i)) for i in range(60)), "word " * 500, "x" * 900]
+    whole = L.read(texts)
+    monkeypatch.setattr(L, "BLOCK", 400)
+    parts = L.read(texts)
+    assert parts.weight.sum() >= whole.weight.sum() and parts.doc[parts.doc == 0].size == 60
+    assert sorted(parts.word[parts.line < 60]) == sorted(whole.word[whole.line < 60])
 
 
 def test_frames(spark):
