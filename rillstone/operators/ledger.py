@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rillstone.operators.skew import hot_keys
 from rillstone.scratch import filesystem, new_dir
 from rillstone.sources import atomic
 
@@ -218,7 +219,10 @@ def changed(state: DataFrame | None, rows: DataFrame, runs: list[tuple[int, str]
     every = rows.select("id", seen.alias("run"), "v")
     if state is not None:
         every = every.unionByName(state.select("id", F.lit(-1).alias("run"), "v"))
-    best = every.groupBy("id", "run").agg(F.max("v").alias("v"))  # a hot id is down to one row a run before it is windowed
+    if hot := hot_keys(every, "id"):  # these are brought down to one row a run before they meet
+        few = every.where(F.col("id").isin(hot)).groupBy("id", "run").agg(F.max("v").alias("v"))
+        every = every.where(~F.col("id").isin(hot)).unionByName(few)
+    best = every.repartition("id").groupBy("id", "run").agg(F.max("v").alias("v"))  # one shuffle for this and the window
     order = Window.partitionBy("id").orderBy("run")
     now = best.select("id", "run", F.max("v").over(order).alias("v"))
     told = now.select("id", "run", "v", F.lag("v").over(order).alias("before"), F.lead("run").over(order).isNull().alias("last"))

@@ -187,3 +187,18 @@ def test_long_texts_are_told_apart(spark):
     rows = [(1, 1, long + "a", "HEAD", h(0), None, h(1), 7), (1, 1, long + "b", "HEAD", h(2), None, h(3), 7), (1, 1, long + "b", "HEAD", h(3), None, h(4), 7)]
     runs = spark.createDataFrame([(1, "ok", h(1)), (2, "ok", h(3)), (3, "ok", h(4))], RUNS)
     assert sorted(map(tuple, L.process_runs(spark.createDataFrame(rows, ROWS), runs, *ARGS, runs_per_item=1).collect())) == [(1, 1), (2, 1)]
+
+
+def test_a_hot_id(spark):
+    rows = [(1, i % 7, None, "HEAD", h(i % 50), None, h(i % 60), 7) for i in range(3000)] + [(i, 1, None, "HEAD", h(1), None, h(i % 60), 7) for i in range(2, 1500)]
+    runs = spark.createDataFrame([(i, "ok", h(10 * i)) for i in range(1, 7)], RUNS)
+    source = spark.createDataFrame(rows, ROWS)
+    want, before = [], {}
+    for i in range(1, 7):
+        now: dict = {}
+        for r in rows:
+            if r[6] <= h(10 * i):
+                now[r[0]] = max(now.get(r[0], (h(-1),)), (r[4], r[6], r[1]))
+        want += [(i, k) for k, v in now.items() if k not in before or before[k][2] != v[2]]
+        before = now
+    assert sorted(map(tuple, L.process_runs(source, runs, *ARGS, runs_per_item=4).collect())) == sorted(want)
