@@ -57,19 +57,19 @@ def drop(spark: SparkSession, path: str) -> None:
 class Cut:
     """A written table: ``df`` reads it, ``drop`` removes it once nothing needs it."""
 
-    def __init__(self, df: DataFrame, tag: str):
+    def __init__(self, df: DataFrame, tag: str, by: tuple[str, ...] = ()):
         self.spark = df.sparkSession
         self.path = new_dir(self.spark, tag)
-        df.write.parquet(self.path)
+        (df.write.partitionBy(*by) if by else df.write).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
         drop(self.spark, self.path)
 
 
-def cut(df: DataFrame, tag: str = "cut") -> Cut:
-    """Writes ``df`` to the shared folder. A lost executor loses nothing of it."""
-    return Cut(df, tag)
+def cut(df: DataFrame, tag: str = "cut", by: tuple[str, ...] = ()) -> Cut:
+    """Writes ``df`` to the shared folder, in a folder for each value of ``by``. A lost executor loses nothing of it."""
+    return Cut(df, tag, by)
 
 
 @atexit.register

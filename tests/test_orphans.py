@@ -55,3 +55,21 @@ def test_cascade(spark, size, monkeypatch):
 def test_counts(spark):
     f = frames(spark, [(1, 2, d(0), ""), (3, 2, d(0), "")], [(1, d(0)), (3, d(0))], [], [])
     assert [tuple(r) for r in O.orphan_counts(O.orphan_report(*f)).collect()] == [("direct", "parent_id", "missing", "2024-01", 2)]
+
+
+def test_direct_orphans_come_through_the_cascade(spark, monkeypatch):
+    """Direct rows are the cascade's round 0: without it there are none."""
+    f = frames(spark, [(1, 2, d(0), ""), (3, 1, d(0), "")], [(1, d(0)), (3, d(0))], [], [])
+    assert sorted(r["kind"] for r in O.orphan_report(*f).collect()) == ["direct", "inherited"]
+    real = O.cascade
+    monkeypatch.setattr(O, "cascade", lambda links, direct: real(links, direct).limit(0))
+    assert O.orphan_report(*f).collect() == []
+
+
+def test_rounds_of_a_long_history(spark, monkeypatch):
+    """A chain whose ids follow it goes through each range once."""
+    monkeypatch.setattr(O, "LINKS_PER_RANGE", 700)
+    df = spark.createDataFrame([(i, i - 1, T0) for i in range(2, 2002)], "revision_id bigint, parent_id bigint, t timestamp_ntz")
+    got = O.cascade(df, spark.createDataFrame([(2,)], "revision_id bigint"))
+    rounds = {r["round"]: r["count"] for r in got.groupBy("round").count().collect()}
+    assert sum(rounds.values()) == 2000 and max(rounds) <= 4
