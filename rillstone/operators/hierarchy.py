@@ -30,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillstone.operators.skew import hot_keys, lookup
+from rillstone.operators.skew import hot_keys, lookup, salted
 from rillstone.scratch import Cut, cut
 
 #: Nodes of a component that one task may walk; some 200 bytes each.
 MAX_COMPONENT = 1_000_000
 #: Nodes a task takes on, components kept whole.
 NODES_PER_TASK = 100_000
+#: Ids of paths in a batch; one path may go beyond it.
+PATH_IDS = 4_000_000
 
 
 def main_parents(links: DataFrame, levels: DataFrame) -> DataFrame:
@@ -71,7 +73,8 @@ def jump(edges: DataFrame, path: bool = False) -> tuple[Cut, int]:
         active = now.df.where(~F.col("done"))
         hot = hot_keys(active, "ptr") if total - finished >= SKEW_FROM else []
         above = now.df.select(F.col("node").alias("ptr"), F.struct("ptr", "steps", "done", *(["path"] if path else [])).alias("up"))
-        moved = lookup(active, above, "ptr", ["node"], hot)
+        # With paths a row has no bound on its size, so hot ones are dealt out by salt instead of broadcast.
+        moved = salted(active, above, "ptr", ["node"], hot) if path else lookup(active, above, "ptr", ["node"], hot)
         up = F.col("up")
         more = [F.concat(F.coalesce(up["path"], F.expr("cast(array() as array<bigint>)")), F.col("path")).alias("path")] if path else []
         moved = moved.select("node", F.coalesce(up["ptr"], "ptr").alias("ptr"), (F.col("steps") + F.coalesce(up["steps"], F.lit(0))).alias("steps"), F.coalesce(up["done"], F.lit(True)).alias("done"), *more)
@@ -83,8 +86,11 @@ def jump(edges: DataFrame, path: bool = False) -> tuple[Cut, int]:
             return now, total - finished
 
 
-def _walk(node: np.ndarray, parent: np.ndarray, has: np.ndarray, want: frozenset[str]) -> pa.RecordBatch:
-    """Depth-first walk of whole components: rows of the nodes given, parents that aren't nodes being roots."""
+def _walk(node: np.ndarray, parent: np.ndarray, has: np.ndarray, want: frozenset[str]) -> Iterator[pa.RecordBatch]:
+    """Depth-first walk of whole components: rows of the nodes given, parents that aren't nodes being roots.
+
+    Paths come in batches of some PATH_IDS ids, however many there are in all.
+    """
     ids = np.unique(np.concatenate([node, parent[has]]))
     n = len(ids)
     up = np.full(n, -1, np.int64)
@@ -130,32 +136,37 @@ def _walk(node: np.ndarray, parent: np.ndarray, has: np.ndarray, want: frozenset
             on_cycle[w], colour[w] = True, GREY
         for w in circle:
             descend(w, -1, low)
-    out = {"node": pa.array(ids[here])}
-    d = np.asarray(depth, np.int64)[here]
-    out["root"] = pa.array(ids[np.asarray(root, np.int64)][here])
-    out["depth"] = pa.array(d)
-    out["on_cycle"] = pa.array(np.asarray(on_cycle, bool)[here])
+    d, of, ring, order = (np.asarray(x, t) for x, t in ((depth, np.int64), (root, np.int64), (on_cycle, bool), (walked, np.int64)))
+    is_node = np.zeros(n, bool)
+    is_node[here] = True
     if "descendants" in want:
         for v in reversed(walked):
             p = ups[v]
             if p >= 0 and depth[v] >= 0:
                 size[p] += size[v] + 1
-        out["descendants"] = pa.array(np.where(d < 0, -1, np.asarray(size, np.int64)[here]), mask=d < 0)
-    if "path" in want:
-        # The path of a node is the path of its parent and itself: level by level, all nodes of a level at once.
-        lens = np.where(d >= 0, d + 1, 0)
-        ends = np.cumsum(lens)
-        flat = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
-        at, cur = ends - 1, here.copy()
-        live = np.flatnonzero(lens > 0)
-        while len(live):
-            flat[at[live]] = ids[cur[live]]
-            at[live] -= 1
-            cur[live] = up[cur[live]]
-            live = live[cur[live] >= 0]
-        offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32), mask=np.concatenate([d < 0, [False]]))
-        out["path"] = pa.ListArray.from_arrays(offsets, pa.array(flat))
-    return pa.RecordBatch.from_pydict(out)
+    sizes = np.asarray(size, np.int64)
+    shown = is_node[order]
+    lens = np.where(shown & (d[order] >= 0), d[order] + 1, 0) if "path" in want else np.zeros(n, np.int64)
+    block = np.cumsum(lens) // PATH_IDS
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), n]
+    way = np.empty(int(d.max(initial=0)) + 1, np.int64)
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        own = order[a:b][shown[a:b]]
+        out = {"node": pa.array(ids[own]), "root": pa.array(ids[of[own]]), "depth": pa.array(d[own]), "on_cycle": pa.array(ring[own])}
+        if "descendants" in want:
+            out["descendants"] = pa.array(np.where(d[own] < 0, -1, sizes[own]), mask=d[own] < 0)
+        if "path" in want:
+            # In the order of the walk the way down to a node is that of the node before, cut to the parent's depth, and itself.
+            flat, at = np.empty(int(lens[a:b].sum()), np.int64), 0
+            for v, k, name in zip(order[a:b].tolist(), lens[a:b].tolist(), ids[order[a:b]].tolist(), strict=True):
+                if depth[v] >= 0:
+                    way[depth[v]] = name
+                    flat[at : at + k] = way[:k]
+                    at += k
+            ends = np.concatenate([[0], np.cumsum(lens[a:b][shown[a:b]])]).astype(np.int32)
+            out["path"] = pa.ListArray.from_arrays(pa.array(ends, mask=np.concatenate([d[own] < 0, [False]])), pa.array(flat))
+        if len(own):
+            yield pa.RecordBatch.from_pydict(out)
 
 
 def _walker(want: frozenset[str], at_once: int):
@@ -163,7 +174,7 @@ def _walker(want: frozenset[str], at_once: int):
         held: list[pa.RecordBatch] = []
         rows = 0
 
-        def flush(upto: pa.Table) -> pa.RecordBatch:
+        def flush(upto: pa.Table) -> Iterator[pa.RecordBatch]:
             p = upto["parent"].combine_chunks()
             return _walk(upto["node"].to_numpy(), p.fill_null(0).to_numpy(), p.is_valid().to_numpy(zero_copy_only=False), want)
 
@@ -177,10 +188,10 @@ def _walker(want: frozenset[str], at_once: int):
                 comp = t["comp"].to_numpy()
                 k = int(np.searchsorted(comp, comp[-1]))
                 if k:
-                    yield flush(t.slice(0, k))
+                    yield from flush(t.slice(0, k))
                     held, rows = t.slice(k).to_batches(), t.num_rows - k
         if held:
-            yield flush(pa.Table.from_batches(held))
+            yield from flush(pa.Table.from_batches(held))
 
     return run
 
@@ -197,9 +208,9 @@ def hierarchies(edges: DataFrame, want: tuple[str, ...] = (), max_component: int
     linked = one.df.where(F.col("parent").isNotNull())
     jumps, endless = jump(linked)
     total = one.df.count()
-    # Every node under a root is in the root's component. Ways into circles share one while that fits a task; else their circle is found by jumping on.
+    # Every node under a root is in the root's component. Ways into circles share one while they are few; else their circle is found by jumping on.
     comp = F.when(F.col("done"), F.col("ptr"))
-    if endless > max_component:
+    if endless > min(max_component, NODES_PER_TASK):
         rest = _circles(linked.join(jumps.df.where(~F.col("done")).select("node"), "node", "left_semi"), endless)
         with_comp = jumps.df.where("done").select("node", "ptr", "steps", "done", F.col("ptr").alias("comp")).unionByName(rest)
     else:

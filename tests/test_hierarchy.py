@@ -1,7 +1,9 @@
 """Hierarchies against a plain walk, with small bounds so that both ways run."""
 
+import itertools
 import random
 
+import numpy as np
 import pytest
 
 from rillstone.operators import hierarchy as H
@@ -77,3 +79,31 @@ def test_main_parents(spark):
     links = spark.createDataFrame([(1, 10), (1, 11), (1, None), (2, 12), (2, 13), (3, None), (4, 20), (4, 21), (None, 1)], "revision_id bigint, parent_id bigint")
     levels = spark.createDataFrame([(10, 5), (11, 9), (13, 0), (20, 3), (21, 3)], "id bigint, level bigint")
     assert {r["node"]: r["parent"] for r in H.main_parents(links, levels).collect()} == {1: 11, 2: 13, 3: None, 4: 20}
+
+
+def test_paths_of_a_long_chain_come_in_bounded_batches(monkeypatch):
+    monkeypatch.setattr(H, "PATH_IDS", 50_000)
+    n = 3000
+    node = np.arange(2, n + 2)
+    got = list(H._walk(node, node - 1, np.ones(n, bool), frozenset({"path", "descendants"})))
+    assert max(len(b["path"].flatten()) for b in got) <= 50_000 + n + 1 and sum(len(b["path"].flatten()) for b in got) == n * (n + 3) // 2
+    assert sum(b.num_rows for b in got) == n
+    last = got[-1].to_pylist()[-1]
+    assert last["path"] == list(range(1, n + 2)) and last["depth"] == n and last["descendants"] == 0
+
+
+def test_a_chain_of_100_000(monkeypatch):
+    """Its paths have 5 * 10**9 ids in all, more than an int32 counts; they are given out bit by bit."""
+    n = 100_000
+    node = np.arange(2, n + 2)
+    out = H._walk(node, node - 1, np.ones(n, bool), frozenset({"path"}))
+    for b in itertools.islice(out, 5):
+        assert b.nbytes < 60 << 20 and all(p[0].as_py() == 1 and len(p) == d.as_py() + 1 for p, d in zip(b["path"], b["depth"], strict=True))
+
+
+def test_100_000_circles():
+    n = 100_000
+    node = np.arange(1, 2 * n + 1)
+    got = list(H._walk(node, np.where(node % 2 == 1, node + 1, node - 1), np.ones(2 * n, bool), frozenset()))
+    assert all((b["depth"].to_numpy() == -1).all() and b["on_cycle"].to_numpy(zero_copy_only=False).all() for b in got)
+    assert sum(b.num_rows for b in got) == 2 * n and all(((b["root"].to_numpy() % 2) == 1).all() for b in got)

@@ -33,3 +33,11 @@ def test_what_finds_nothing_is_spread(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert sum(sizes) == 1000 and max(sizes) < 500
+
+
+@pytest.mark.parametrize("hot", [[1, 2], []])
+def test_salted_is_a_left_join(spark, hot):
+    rows = [(1, i) for i in range(300)] + [(2, 1), (3, 1), (None, 5), (9, 0)]
+    left, right = spark.createDataFrame(rows, "k bigint, x bigint"), spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "k bigint, v string")
+    got = sorted(map(tuple, skew.salted(left, right, "k", ["x"], hot).collect()), key=repr)
+    assert got == sorted([(k, x, {1: "a", 3: "c"}.get(k)) for k, x in rows], key=repr)
