@@ -27,7 +27,10 @@ Defined results
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +38,10 @@ from rillstone.llm import tokens
 from rillstone.scratch import cut
 
 GOLDEN = (math.sqrt(5) - 1) / 2
-#: Tokens of a block.
+#: Most tokens of a block, and slots that a mixture has at least for each listed source: so many that rounding to whole
+#: slots is under a percent of an average share.
 BLOCK_TOKENS = 8192
+SLOTS_PER_SOURCE = 400
 #: Documents whose running totals one task takes, and slots that it ranks.
 PER_BUCKET = 50_000
 #: Listed sources; more would be a table of keys rather than a list of targets.
@@ -72,18 +77,28 @@ def _running(df: DataFrame, groups: list[str], bucket: str, order: list[str], am
 def schedule(spark, slots: int, targets: list) -> DataFrame:
     """``slot, source, rank``: the source of each slot, and how many of its slots came before."""
     total = sum(t["weight"] for t in targets)
-    edges, run = [], 0.0
-    for t in targets:
-        run += t["weight"] / total
-        edges.append(run)
-    names = F.array(*(F.lit(t["source"]) for t in targets))
-    point = F.pmod((F.col("id") + 1) * F.lit(GOLDEN), F.lit(1.0))
-    index = F.least(F.size(F.filter(F.array(*(F.lit(e) for e in edges)), lambda e: e <= point)), F.lit(len(targets) - 1))
-    every = spark.range(slots).select(F.col("id").alias("slot"), F.element_at(names, index + 1).alias("source"), F.floor(F.col("id") / PER_BUCKET).alias("bucket"), F.lit(1).cast("bigint").alias("one"))
+    edges = np.cumsum([t["weight"] / total for t in targets])
+    sources = pa.array([t["source"] for t in targets], pa.string())
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A binary search per slot in the cumulative weights, which are at most MAX_SOURCES numbers."""
+        for b in batches:
+            slot = b.column(0).to_numpy()
+            index = np.minimum(np.searchsorted(edges, np.mod((slot + 1) * GOLDEN, 1.0), "right"), len(edges) - 1)
+            yield pa.RecordBatch.from_arrays([b.column(0), sources.take(pa.array(index))], names=["slot", "source"])
+
+    placed = spark.range(slots).mapInArrow(place, "slot bigint, source string")
+    every = placed.select("slot", "source", F.floor(F.col("slot") / PER_BUCKET).alias("bucket"), F.lit(1).cast("bigint").alias("one"))
     return _running(every, ["source"], "bucket", ["slot"], "one", "rank").select("slot", "source", "rank")
 
 
-def mix(sized: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, seed: int = 0) -> DataFrame:
+def block_size(whole: int, targets: list, most: int = BLOCK_TOKENS) -> int:
+    """Tokens of a block: at most ``most``, fewer where the least target would get fewer than SLOTS_PER_SOURCE slots."""
+    least = min(t["weight"] for t in targets) / sum(t["weight"] for t in targets)
+    return max(1, min(most, int(whole * max(least, 1 / (len(targets) * 100)) / SLOTS_PER_SOURCE)))
+
+
+def mix(sized: DataFrame, targets: DataFrame, block_tokens: int | None = None, seed: int = 0) -> DataFrame:
     """``slot, source, doc_id, repeat, n_tokens`` of ``sized`` (of ``sizes``): the mixture in order of slot."""
     spark = sized.sparkSession
     wanted = read_targets(targets)
@@ -94,6 +109,7 @@ def mix(sized: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS,
     whole = sum(r["tokens"] for r in have.values())
     if not wanted or not whole:
         return empty
+    block_tokens = block_tokens or block_size(whole, wanted)
     slots = math.ceil(whole / block_tokens)
     plan = cut(schedule(spark, slots, wanted), "slots").df
     share = {r["source"]: r["n"] for r in plan.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -161,10 +161,20 @@ def boundaries(points: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 
 
 @cache
-def ranks(vocabulary: str, folder: str) -> dict[bytes, int]:
-    """Byte strings and ids of a vocabulary given as ranks."""
+def file_of(vocabulary: str, folder: str) -> bytes:
+    """A vocabulary's file as it is: one line per byte string, a megabyte or two. Read by the driver, which sends it along."""
     with open(f"{folder}/{vocabulary}.tiktoken", "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        return f.read()
+
+
+def parse(file: bytes) -> dict[bytes, int]:
+    """Byte strings and ids of a vocabulary given as ranks."""
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in file.splitlines() if line.strip())}
+
+
+@cache
+def ranks(vocabulary: str, folder: str) -> dict[bytes, int]:
+    return parse(file_of(vocabulary, folder))
 
 
 def merge(piece: bytes, rank: dict[bytes, int]) -> list[int]:
@@ -304,8 +314,8 @@ TOGETHER = 32
 class Encoder:
     """Encodes batches of texts; keeps merged slices between batches, at most ``limit`` of them."""
 
-    def __init__(self, vocabulary: str = VOCABULARY, folder: str = TOKENIZERS, limit: int = 600_000):
-        self.rank, self.limit = ranks(vocabulary, folder), limit
+    def __init__(self, vocabulary: str = VOCABULARY, folder: str = TOKENIZERS, limit: int = 600_000, rank: dict[bytes, int] | None = None):
+        self.rank, self.limit = rank or ranks(vocabulary, folder), limit
         self.pairs = Pairs(self.rank)
         self._forget()
 
@@ -408,10 +418,11 @@ class Encoder:
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
-def _encoder(vocabulary: str, folder: str) -> Encoder:
+def _encoder(vocabulary: str, folder: str, file) -> Encoder:
+    """The process's encoder, made once; ``file`` is a broadcast of ``file_of``."""
     key = (vocabulary, folder)
     if key not in _encoders:
-        _encoders[key] = Encoder(vocabulary, folder)
+        _encoders[key] = Encoder(vocabulary, folder, rank=parse(file.value))
     return _encoders[key]
 
 
@@ -451,10 +462,12 @@ def encode(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     columns = {"ids": "ids array<int>", "n_tokens": "n_tokens bigint", "offsets": "ids array<int>, starts array<int>"}[what]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), columns])
 
+    file = df.sparkSession.sparkContext.broadcast(file_of(vocabulary, folder))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
 
-        enc = _encoder(vocabulary, folder)
+        enc = _encoder(vocabulary, folder, file)
         for whole in batches:
             for batch in bounded(whole, len(keep)):
                 raw, offsets = valid_bytes(batch.column(len(keep)))
@@ -479,8 +492,10 @@ def decode(df: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",),
     fields = [df.select(k).schema[0] for k in keep]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "text string"])
 
+    file = df.sparkSession.sparkContext.broadcast(file_of(vocabulary, folder))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = {v: k for k, v in ranks(vocabulary, folder).items()}
+        piece = {v: k for k, v in parse(file.value).items()}
         for b in batches:
             texts = [None if x is None else b"".join(piece[i] for i in x).decode("utf-8", "replace") for x in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(texts, pa.string())], names=[*keep, "text"])

@@ -92,3 +92,20 @@ def test_sizes(spark):
     t = targets(spark, [("a", 1.0, 1), ("b", 1.0, 1)])
     assert sorted(map(tuple, M.sizes(docs, t).collect())) == [(1, "a", 2), (2, "a", 0), (3, "b", 0)]
     assert M.sizes(docs, t.limit(0)).collect() == []
+
+
+def test_shares_are_within_a_percent(spark):
+    """Sources below their caps get their share within 1%, also where it takes several passes; the block follows from the total."""
+    rows = [(i, "big", 40 + i % 9) for i in range(3000)] + [(10_000 + i, "small", 30 + i % 5) for i in range(200)] + [(20_000 + i, "mid", 25) for i in range(1500)]
+    s, t = sized(spark, rows), targets(spark, [("big", 5.0, 3), ("small", 1.0, 9), ("mid", 2.5, 4)])
+    for r in M.shares(M.mix(s, t), s, t).collect():
+        assert abs(r["tokens"] / r["target_tokens"] - 1) < 0.01, r
+    assert M.block_size(10**15, M.read_targets(t)) == M.BLOCK_TOKENS
+
+
+def test_many_sources(spark):
+    wanted = [(f"s{i:04d}", 1.0 + i % 3, 1) for i in range(2000)]
+    t = M.read_targets(targets(spark, wanted))
+    got = {r["source"]: r["n"] for r in M.schedule(spark, 40_000, t).groupBy("source").agg(F.count("*").alias("n")).collect()}
+    whole = sum(w for _, w, _ in wanted)
+    assert all(abs(got[s] - 40_000 * w / whole) < 5 for s, w, _ in wanted)
