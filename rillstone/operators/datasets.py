@@ -86,6 +86,21 @@ def flat_map(df: DataFrame, array: Column, name: str, keep: list[str]) -> DataFr
     return df.select(*keep, F.explode(array).alias(name))
 
 
+def map_rows(df: DataFrame, mapper: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """A mapper given as a function from rows to any number of rows, on pandas frames in Arrow batches.
+
+    For mappers that no expression can say. A batch is a bounded number of rows
+    of one partition, so a mapper must not look beyond the row.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield mapper(b)
+
+    return df.mapInPandas(run, schema)
+
+
 def until(df: DataFrame, stop: Column, order: list[str], by: list[str] | None = None) -> DataFrame:
     """Rows before the first (in ``order``) for which ``stop`` is true, in each group of ``by``.
 

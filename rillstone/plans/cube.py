@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable, Iterable, Mapping
+from contextlib import AbstractContextManager, ExitStack
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from rillstone.functions import predicates as P
 from rillstone.functions.computed import Computed
 from rillstone.functions.measures import Measure
+from rillstone.operators.datasets import first_by
 
 
 class QueryError(ValueError):
@@ -44,9 +46,10 @@ class Attribute:
     column: str
 
     def rows(self) -> DataFrame:
-        """The table as it is now: a callable is asked at each query."""
+        """The table as it is now: a callable is asked at each query. Of rows with one key the one with the least columns counts."""
         t = self.table() if callable(self.table) else self.table
-        return t.dropDuplicates(list(self.keys.values()))
+        keys = list(self.keys.values())
+        return first_by(t, keys, [c for c in t.columns if c not in keys])
 
 
 @dataclass(frozen=True)
@@ -108,6 +111,8 @@ class Cube:
         self.computed, self.relations, self.attributes = dict(computed or {}), dict(relations or {}), dict(attributes or {})
         self.rollups = {r.name: r for r in rollups}
         self.data: dict[str, Callable[[P.Predicate, tuple[str, ...]], DataFrame]] = {}
+        #: Each gives a context in which stored rollups are seen in one state; a query opens them all.
+        self.pins: list[Callable[[], AbstractContextManager]] = []
         self.cost: dict[str, Callable[[P.Predicate, tuple[str, ...]], int]] = {}
         for r in self.rollups.values():
             unknown = (set(r.dims) | r.predicate.dimensions()) - set(self.dims) | set(r.measures) - set(self.measures)
@@ -213,6 +218,12 @@ class Cube:
         return [c.alias(m) for m, c in final.items()] + [self.computed[c].column(final).alias(c) for c in computed]
 
     def query(self, q: CubeQuery) -> QueryResult:
+        with ExitStack() as pins:
+            for pin in self.pins:
+                pins.enter_context(pin())
+            return self._query(q)
+
+    def _query(self, q: CubeQuery) -> QueryResult:
         where, having = q.where.simplify(), q.having.simplify()
         dims = self._dims_of([*q.attributes, *(a for a in having.dimensions() if a in self.attributes)])
         possible = self.compatible_measures(dims, where)

@@ -88,6 +88,35 @@ def flat_map_words(spark, d):
     return D.flat_map(table(spark, d, "part"), F.split("p_name", " "), "word", ["p_partkey"])
 
 
+@query("select p_partkey, length(p_name) as letters, upper(string_split(p_name, ' ')[1]) as head from part")
+def map_function(spark, d):
+    """A mapper that is a function over rows."""
+    return D.map_rows(table(spark, d, "part").select("p_partkey", "p_name"), lambda b: b.assign(letters=b.p_name.str.len(), head=b.p_name.str.split(" ").str[0].str.upper())[["p_partkey", "letters", "head"]], "p_partkey bigint, letters bigint, head string")
+
+
+@query("select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as nth from orders")
+def reduce_groups_function(spark, d):
+    """A reducer that is a function from a key's rows to rows."""
+
+    def number(g):
+        g = g.sort_values(["o_orderdate", "o_orderkey"])
+        return g.assign(nth=range(1, len(g) + 1))[["o_custkey", "o_orderkey", "nth"]]
+
+    return D.reduce_groups(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], number, "o_custkey bigint, o_orderkey bigint, nth bigint")
+
+
+@query("select n_nationkey, (select count(*) from customer where c_nationkey = n_nationkey) as customers, (select count(*) from supplier where s_nationkey = n_nationkey) as suppliers from nation")
+def join_groups_function(spark, d):
+    """A joiner that is a function from both sides' rows of a key, either of which may be none."""
+    import pandas as pd
+
+    key = lambda name, c: table(spark, d, name).select(F.col(c).cast("bigint").alias("n_nationkey"))
+    count = lambda a, b: pd.DataFrame({"n_nationkey": [(a if len(a) else b).n_nationkey.iloc[0]], "customers": [len(a)], "suppliers": [len(b)]})
+    pairs = D.join_groups(key("customer", "c_nationkey"), key("supplier", "s_nationkey"), ["n_nationkey"], count, "n_nationkey bigint, customers bigint, suppliers bigint")
+    every = key("nation", "n_nationkey").join(pairs, "n_nationkey", "left")
+    return every.select("n_nationkey", F.coalesce("customers", F.lit(0)).alias("customers"), F.coalesce("suppliers", F.lit(0)).alias("suppliers"))
+
+
 @query("""select e.user_id, e.event_id from events e left join (select user_id, min(row(ts, event_id)) as s from events where event_type = 'error' group by user_id) f using (user_id)
 where f.s is null or row(e.ts, e.event_id) < f.s""")
 def until_first_error(spark, d):
@@ -296,6 +325,13 @@ def sort_local(spark, d):
     return at.select(step.alias("step")).agg((F.coalesce(F.min("step"), F.lit(0)) >= 0).alias("sorted"))
 
 
+@query("select o_custkey, o_orderkey from orders")
+def sort_local_rows(spark, d):
+    """All rows, sorted within their partitions; reading fails if one isn't in order."""
+    s = D.local_sort(table(spark, d, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")
+    return D.cast_to_sorted(s, "o_custkey", "o_orderkey")
+
+
 @query("select abs(o_custkey) % 7 as shard, count(*) as n from orders group by 1")
 def shard_hash_counts(spark, d):
     return D.shard(table(spark, d, "orders"), "o_custkey", 7).groupBy(F.col("shard").cast("bigint").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
@@ -331,24 +367,13 @@ def splitter_union(spark, d):
     return outs["even"].unionAll(outs["odd"])
 
 
-def _sorted_lines(spark, d) -> DataFrame:
-    """Lines of each order, from the whole table in the session's partitions."""
+@query("select l_orderkey, count(*) as lines from lineitem group by l_orderkey")
+def cast_sorted_reduce(spark, d):
+    """Every order of the table: sorted by hand in the session's partitions, asserted, and reduced."""
     s = D.repartition_sort(table(spark, d, "lineitem").select("l_orderkey"), "l_orderkey")
     return D.reduce_by(D.cast_to_sorted(s, "l_orderkey"), ["l_orderkey"], lines=F.count(F.lit(1)))
 
 
-@query("select l_orderkey, count(*) as lines from lineitem where l_orderkey between 100 and 400 group by l_orderkey")
-def cast_sorted_reduce(spark, d):
-    """The range of orders that the SQL asks for, of the whole table sorted and asserted."""
-    return _sorted_lines(spark, d).where("l_orderkey between 100 and 400")
-
-
-@query("select l_orderkey, count(*) as lines from lineitem group by l_orderkey")
-def cast_sorted_reduce_all(spark, d):
-    """Every order of the table: sorted by hand, asserted, and reduced."""
-    return _sorted_lines(spark, d)
-
-
 @query("select c_custkey, c_name from (select * from customer where c_nationkey < 10 order by c_acctbal desc, c_custkey limit 20 offset 10) union select c_custkey, c_name from customer where c_custkey in (1, 2)")
 def grid_page(spark, d):
     return grid.page(table(spark, d, "customer"), ["c_custkey", "c_name"], "c_custkey", {"c_nationkey": F.col("c_nationkey") < 10}, {"c_acctbal": False}, 10, 20, [1, 2])
@@ -393,13 +418,13 @@ def _ads(spark, d) -> DataFrame:
 
 _DIMS = {"date": "date", "advertiser": "int", "campaign": "int", "banner": "int", "affiliate": "int", "site": "string"}
 _COLUMNS = {"date": "log_date"} | {k: k for k in _DIMS if k != "date"}
-_INPUTS = {"impressions": "impressions", "clicks": "clicks", "conversions": "conversions", "revenue": "revenue", "minRevenue": "revenue", "maxRevenue": "revenue", "errors": "errors", "eventCount": None}
+_INPUTS = {"impressions": "impressions", "clicks": "clicks", "conversions": "conversions", "revenue": "revenue", "minRevenue": "revenue", "maxRevenue": "revenue", "errors": "errors", "eventCount": None, "uniqueUserIdsCount": "user_id"}
 
 
 def ads_cube(spark: SparkSession, d: str | None = None) -> Cube:
     """The reporting cube: rollups by day, by advertiser chain and by affiliate chain."""
     every = tuple(_INPUTS)
-    measures = {k: M.sum_("bigint") for k in ("impressions", "clicks", "conversions", "errors")} | {"revenue": M.sum_(), "minRevenue": M.min_(), "maxRevenue": M.max_(), "eventCount": M.count()}
+    measures = {k: M.sum_("bigint") for k in ("impressions", "clicks", "conversions", "errors")} | {"revenue": M.sum_(), "minRevenue": M.min_(), "maxRevenue": M.max_(), "eventCount": M.count(), "uniqueUserIdsCount": M.distinct()}
     return Cube(
         _DIMS, measures,
         [
@@ -407,7 +432,7 @@ def ads_cube(spark: SparkSession, d: str | None = None) -> Cube:
             Rollup("advertisers", ("date", "advertiser", "campaign", "banner"), every, P.and_(P.ne("advertiser", 0), P.ne("campaign", 0), P.ne("banner", 0))),
             Rollup("affiliates", ("date", "affiliate", "site"), tuple(m for m in every if m != "errors"), P.and_(P.ne("affiliate", 0), P.ne("site", "--"))),
         ],
-        computed={"ctr": C.percent("clicks", "impressions"), "errorsPercent": C.percent("errors", "impressions"), "meanRevenue": C.div("revenue", "eventCount")},
+        computed={"ctr": C.percent("clicks", "impressions"), "errorsPercent": C.percent("errors", "impressions"), "meanRevenue": C.div("revenue", "eventCount"), "uniqueUserPercent": C.percent("uniqueUserIdsCount", "eventCount")},
         relations={"campaign": "advertiser", "banner": "campaign", "site": "affiliate"},
         attributes={"advertiser.name": Attribute(lambda: table(spark, d, "advertisers"), {"advertiser": "advertiser"}, "name")} if d else {},
     )
@@ -447,6 +472,25 @@ def cube_rollup_from_fine(spark, d):
     return _cube(spark, d).query(CubeQuery(("advertiser",), ("eventCount",), where=_NO)).records
 
 
+#: Users that differ, counted exactly, and whether the cube's sketch of them is within three of its standard errors.
+_UNIQUE = f"""with {_ONCE} select advertiser, count(distinct user_id) as users, true as close, true as percent_fits from ads where {_CHAIN} group by advertiser"""
+
+
+def _unique(spark, d, cube: Cube) -> DataFrame:
+    """A sketch is an estimate, so it is held against a count of the log itself, not against the SQL."""
+    r = cube.query(CubeQuery(("advertiser",), ("uniqueUserIdsCount", "uniqueUserPercent", "eventCount"), where=_NO)).records
+    exact = _ads(spark, d).where("advertiser <> 0 and campaign <> 0 and banner <> 0").groupBy("advertiser").agg(F.countDistinct("user_id").alias("users"))
+    estimate, error = F.col("uniqueUserIdsCount"), 3 * 1.04 / 4096**0.5
+    percent = estimate / F.col("eventCount") * 100
+    return exact.join(r, "advertiser").select("advertiser", "users", (F.abs(estimate - F.col("users")) <= F.col("users") * error + 0.5).alias("close"), (F.abs(F.col("uniqueUserPercent") - percent) < 1e-6).alias("percent_fits"))
+
+
+@query(_UNIQUE)
+def cube_unique_users(spark, d):
+    """Unique users as a measure that is merged from the finer keys of the rollup."""
+    return _unique(spark, d, _cube(spark, d))
+
+
 @query(f"with {_ONCE} select date_trunc('month', log_date)::date as month, sum(impressions)::bigint as impressions, sum(errors)::bigint as errors from ads group by 1")
 def cube_raw_stream(spark, d):
     g = _cube(spark, d).raw(["date"], ["impressions", "errors"], P.always_true())
@@ -578,6 +622,24 @@ def lsm_consolidated(spark, d):
     return _stored(store)
 
 
+@query(_UNIQUE)
+def lsm_unique_users(spark, d):
+    """The same from stored chunks, consolidated."""
+    store = _store(spark, d)
+    store.upkeep()
+    return _unique(spark, d, store.cube)
+
+
+@query(_STORED)
+def lsm_backup(spark, d):
+    """Read from a backup, after the original is gone on."""
+    store, to = _store(spark, d, 2), new_dir(spark, "backup")
+    store.backup(to)
+    store.upkeep()
+    store.vacuum(0)
+    return _stored(RollupStore(spark, to, ads_cube(spark, d)))
+
+
 @query(f"with {_ONCE} select log_date as date, sum(clicks)::bigint as clicks, coalesce(sum(case when hour(loaded_at) % 2 = 1 then impressions end), 0)::bigint as impressions from ads group by log_date")
 def lsm_measure_evolution(spark, d):
     """Chunks written before a measure came count as 0 of it."""
@@ -611,6 +673,19 @@ def log_incremental_ingest(spark, d):
     return _log_result(store)
 
 
+@query(_LOG)
+def log_same_hour_append(spark, d):
+    """Three writes to one open hour of two partitions, an ingest after each."""
+    root, ads = new_dir(spark, "log"), _ads(spark, d)
+    store = RollupStore(spark, new_dir(spark, "cube"), ads_cube(spark, d))
+    part = F.when(F.col("log_name").like("%a%"), "a").otherwise("b")
+    hour = F.lit("2023-05-01 12:00:00").cast("timestamp")
+    for i in range(3):
+        logs.write_log(ads.where(F.pmod(F.xxhash64("log_pos"), F.lit(3)) == i), root, part, hour)
+        ingest.ingest_log(spark, root, store, [(lambda rows: rows, *_inputs(), None)], "ads")
+    return _log_result(store)
+
+
 @query(_LOG)
 def log_stream_ingest(spark, d):
     """A file stream into the rollups, run twice over the same checkpoint."""

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from rillstone.operators import changes, hierarchy, ledger, nested, orphans
 from rillstone.operators.skew import hot_keys, lookup
-from rillstone.queries.pipeline_sql import ORACLE  # noqa: F401
+from rillstone.queries.pipeline_sql import ORACLE
+from rillstone.scratch import new_dir
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -150,6 +151,25 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return ledger.process_runs(table(spark, d, "revisions"), table(spark, d, "processor_runs"), "id", ["level", "snapshot", "type", "created_by"], "timestamp", "loaded_at")
 
 
+def p4_resumed(spark: SparkSession, d: str) -> DataFrame:
+    """The same in three calls on one ledger: with the runs of the first half, then one that is lost after its output is written, then to the end."""
+    source, runs, root = table(spark, d, "revisions"), table(spark, d, "processor_runs"), new_dir(spark, "ledger")
+    args = (source, "id", ["level", "snapshot", "type", "created_by"], "timestamp", "loaded_at", root)
+    call = lambda of, **more: ledger.process_runs(args[0], of, *args[1:], runs_per_item=12, **more)
+    half = ledger.successful_runs(runs)
+    call(runs.where(F.col("cutoff_at").cast("timestamp_ntz") <= F.lit(half[len(half) // 2][1]).cast("timestamp_ntz")) if half else runs)
+
+    def lost(step, _lease):
+        if step == "written":
+            raise ConnectionError("lost")
+
+    try:
+        call(runs, fail=lost, lease_seconds=0)
+    except ConnectionError:
+        pass
+    return call(runs)
+
+
 def _report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(table(spark, d, "diffs"), table(spark, d, "revisions"), table(spark, d, "cleanup_log"), table(spark, d, "revisions_backup"))
 
@@ -164,4 +184,5 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_counts(_report(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_paths_all, p1_descendants_all, p1_cycles, p2_found, p2_state, p2_state_all, p3_found, p3_positions, p3_log_diffs, p3_ops, p3_measures, p3_tags, p4_found, p5_found, p5_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_paths_all, p1_descendants_all, p1_cycles, p2_found, p2_state, p2_state_all, p3_found, p3_positions, p3_log_diffs, p3_ops, p3_measures, p3_tags, p4_found, p4_resumed, p5_found, p5_report)}
+ORACLE["p4_resumed"] = ORACLE["p4_found"]

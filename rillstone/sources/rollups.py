@@ -5,7 +5,10 @@ from __future__ import annotations
 import datetime as dt
 import time
 import uuid
-from collections.abc import Iterable
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from functools import reduce as fold
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,9 +39,26 @@ class RollupStore:
         self.spark, self.root, self.cube, self.chunk_rows, self.max_overlap = spark, root.rstrip("/"), cube, chunk_rows, max_overlap
         self.manifest = Manifest(spark, self.root)
         self._fs, _ = filesystem(spark, self.root)
+        self._pinned: State | None = None
+        cube.pins.append(self.pinned)
         for r in cube.rollups.values():
             cube.attach(r.name, lambda where, measures, r=r: self.scan(r.name, where, measures), lambda where, measures, r=r: len(self.find(r.name, where, measures)))
 
+    @contextmanager
+    def pinned(self) -> Iterator[None]:
+        """Within it all reads see one state, read from storage once."""
+        if self._pinned is not None:
+            yield
+            return
+        self._pinned = self.manifest.state()
+        try:
+            yield
+        finally:
+            self._pinned = None
+
+    def _state(self) -> State:
+        return self._pinned or self.manifest.state()
+
     # ---- writing
 
     def _write(self, r: Rollup, df: DataFrame) -> dict[str, Any]:
@@ -86,7 +106,7 @@ class RollupStore:
 
     def find(self, name: str, where: P.Predicate, measures: Iterable[str], state: State | None = None) -> list[str]:
         """Chunks that may hold rows of ``where`` and one of ``measures``: by the ranges of their dimensions."""
-        chunks = (state or self.manifest.state()).chunks.get(name, {})
+        chunks = (state or self._state()).chunks.get(name, {})
         wanted = set(measures)
         where = where.simplify()
         if where == P.always_false():
@@ -116,21 +136,22 @@ class RollupStore:
         except TypeError:
             return True
 
+    def _read(self, chunks: dict[str, Any], files: list[str]) -> DataFrame:
+        """Rows of the chunks: one reader for all that have the same measures."""
+        by: dict[tuple[str, ...], list[str]] = {}
+        for f in files:
+            by.setdefault(tuple(chunks[f]["measures"]), []).append(f)
+        parts = [self.spark.read.parquet(*own) for own in by.values()]
+        return fold(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
     def scan(self, name: str, where: P.Predicate, measures: Iterable[str]) -> DataFrame:
         """Rows of the chunks found; a measure that a chunk doesn't have is null there."""
         r = self.cube.rollups[name]
-        state = self.manifest.state()
+        state = self._state()
         files = self.find(name, where, measures, state)
         if not files:
             return self.spark.createDataFrame([], self._schema(r))
-        kept = [f for f in files]
-        by: dict[tuple[str, ...], list[str]] = {}
-        for f in kept:
-            by.setdefault(tuple(state.chunks[name][f]["measures"]), []).append(f)
-        out = None
-        for own in by.values():
-            part = self.spark.read.parquet(*own)
-            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+        out = self._read(state.chunks[name], files)
         for m in measures:
             if m not in out.columns:
                 out = out.withColumn(m, F.lit(None))
@@ -140,53 +161,67 @@ class RollupStore:
 
     def overlap(self, name: str, state: State | None = None) -> int:
         """The most chunks whose key ranges hold one key."""
-        chunks = (state or self.manifest.state()).chunks.get(name, {})
+        chunks = (state or self._state()).chunks.get(name, {})
         if not self.cube.rollups[name].dims:
             return len(chunks)
-        order = lambda key: [("", "") if v is None else (type(v).__name__, v) for v in key]
-        marks = sorted([(order(c["min"]), 0) for c in chunks.values()] + [(order(c["max"]), 1) for c in chunks.values()])
+        marks = sorted([(self._order(c["min"]), 0) for c in chunks.values()] + [(self._order(c["max"]), 1) for c in chunks.values()])
         now = most = 0
         for _, end in marks:
             now += -1 if end else 1
             most = max(most, now)
         return most
 
+    @staticmethod
+    def _order(key: list) -> list:
+        return [("", "") if v is None else (type(v).__name__, v) for v in key]
+
     def segments(self, name: str) -> list[tuple[list, int]]:
         """Start keys of segments and how many chunks overlap from there, for a look at the table."""
-        chunks = self.manifest.state().chunks.get(name, {})
-        starts = sorted({tuple(map(str, c["min"])) for c in chunks.values()})
-        return [(list(s), sum(tuple(map(str, c["min"])) <= s <= tuple(map(str, c["max"])) for c in chunks.values())) for s in starts]
+        chunks = self._state().chunks.get(name, {})
+        low = sorted(self._order(c["min"]) for c in chunks.values())
+        high = sorted(self._order(c["max"]) for c in chunks.values())
+        starts = {tuple(map(str, c["min"])): self._order(c["min"]) for c in chunks.values()}
+        return [(list(s), bisect_right(low, k) - bisect_left(high, k)) for s, k in sorted(starts.items())]
 
     def choose(self, name: str, strategy: str = "hot", max_chunks: int = MAX_CHUNKS, state: State | None = None) -> list[str]:
         """Chunks to consolidate.
 
-        ``hot``: those over the most overlapped key; ``min_key``: the first that
-        overlap, else the first neighbours that are both smaller than a chunk.
+        ``hot``: those over the most overlapped key. ``min_key``: the first, in
+        order of keys, that hold several values of the rollup's partition keys (its
+        partitioning changed since); else the first that overlap; else the first
+        neighbours of one partition that together are at most one full chunk.
         Either is widened by overlapping neighbours until stable, then cut to
         ``max_chunks`` from the least key.
         """
-        chunks = (state or self.manifest.state()).chunks.get(name, {})
-        order = lambda key: [("", "") if v is None else (type(v).__name__, v) for v in key]
-        items = sorted(((order(c["min"]), order(c["max"]), k, c["count"]) for k, c in chunks.items()), key=lambda x: (x[0], x[1], x[2]))
-        over = lambda key: [x for x in items if x[0] <= key <= x[1]]
+        chunks = (state or self._state()).chunks.get(name, {})
+        split = self.cube.rollups[name].partition_by
+        items = sorted(((self._order(c["min"]), self._order(c["max"]), k, c["count"]) for k, c in chunks.items()), key=lambda x: (x[0], x[1], x[2]))
+        low, high = [x[0] for x in items], sorted(x[1] for x in items)
+        depth = lambda key: bisect_right(low, key) - bisect_left(high, key)
+        over = lambda key: [x for x in items[: bisect_right(low, key)] if key <= x[1]]
+        of = lambda x: [chunks[x[2]]["ranges"][d] for d in split]
+        spanning = [x for x in items if any(a != b for a, b in of(x))] if strategy == "min_key" else []
         picked: list = []
-        if strategy == "hot":
-            picked = max((over(x[0]) for x in items), key=len, default=[])
+        if spanning:
+            picked = spanning[:1]
+        elif strategy == "hot":
+            hot = max(low, key=depth, default=None)
+            picked = over(hot) if hot is not None and depth(hot) > 1 else []
+        elif (first := next((k for k in low if depth(k) > 1), None)) is not None:
+            picked = over(first)
         else:
-            for x in items:
-                if len(own := over(x[0])) > 1:
-                    picked = own
+            for i, x in enumerate(items):
+                total, j = x[3], i + 1
+                while j < len(items) and of(items[j]) == of(x) and total + items[j][3] <= self.chunk_rows:
+                    total, j = total + items[j][3], j + 1
+                if j > i + 1:
+                    picked = items[i:j]
                     break
-            else:
-                for a, b in zip(items, items[1:], strict=False):
-                    if a[3] < self.chunk_rows and b[3] < self.chunk_rows:
-                        picked = [a, b]
-                        break
-        if len(picked) < 2:
+        if len(picked) < (1 if spanning else 2):
             return []
         while True:
-            low, high = min(x[0] for x in picked), max(x[1] for x in picked)
-            wider = [x for x in items if x[0] <= high and x[1] >= low]
+            a, b = min(x[0] for x in picked), max(x[1] for x in picked)
+            wider = [x for x in items[: bisect_right(low, b)] if x[1] >= a]
             if len(wider) == len(picked):
                 break
             picked = wider
@@ -199,10 +234,7 @@ class RollupStore:
         if not files:
             return False
         r = self.cube.rollups[name]
-        rows = None
-        for f in files:
-            part = self.spark.read.parquet(f)
-            rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+        rows = self._read(state.chunks[name], files)
         own = [m for m in r.measures if m in rows.columns]
         merged = rows.groupBy(*r.dims).agg(*(self.cube.measures[m].merge(F.col(m)).alias(m) for m in own))
         old = state.chunks[name]

@@ -283,3 +283,59 @@ def test_expressions(spark):
 
 def value_(x):
     return C.value(float(x))
+
+
+def test_unique_users(cube):
+    """4, 2 and 2 users by day, also when the days' sketches are merged; null where nothing came is 0."""
+    r = cube.query(CubeQuery(("date",), ("uniqueUserIdsCount", "uniqueUserPercent"), order=(("date", True),)))
+    assert [x[1] for x in rows(r.records)] == [4, 2, 2] and [round(x[2], 4) for x in rows(r.records)] == [50.0, round(2 / 3 * 100, 4), 100.0]
+    assert rows(r.totals)[0][0] == 5
+    none = cube.query(CubeQuery(("date",), ("uniqueUserIdsCount",), where=P.always_false()))
+    assert rows(none.totals) == [(0,)]
+
+
+def test_one_look_at_the_manifest_a_query(spark):
+    c, store = small(spark)
+    for lo, hi in ((0, 250), (200, 450), (900, 950)):
+        put(spark, store, lo, hi)
+    looks, real = [], store.manifest.state
+    store.manifest.state = lambda *a: looks.append(1) or real(*a)
+    assert len(answer(c)) == 500 and len(looks) == 1
+    assert len(answer(c, P.eq("k", 3))) == 1 and len(looks) == 2
+
+
+def test_chunks_are_split_after_their_partitioning_changed(spark):
+    root = new_dir(spark, "cube")
+    make = lambda by: RollupStore(spark, root, Cube({"p": "int", "k": "int"}, {"n": M.count()}, [Rollup("r", ("p", "k"), ("n",), partition_by=by)]), 100)
+    store = make(())
+    df = spark.range(60).select((F.col("id") % 3).cast("int").alias("p"), F.col("id").cast("int").alias("k")).coalesce(1)
+    store.ingest(store.cube.consume(df, {"p": F.col("p"), "k": F.col("k")}, {"n": None}))
+    new = make(("p",))
+    assert new.choose("r", "min_key") and new.consolidate("r", "min_key")
+    while new.consolidate("r", "min_key"):
+        pass
+    chunks = new.manifest.state().chunks["r"].values()
+    assert all(c["ranges"]["p"][0] == c["ranges"]["p"][1] for c in chunks) and sum(c["count"] for c in chunks) == 60
+    assert not new.choose("r", "min_key") and new.cube.query(CubeQuery(("p",), ("n",), order=(("p", True),))).records.collect() == [(i, 20) for i in range(3)]
+
+
+def test_small_neighbours_are_joined_up_to_a_chunk(spark):
+    c, store = small(spark)
+    for i in range(12):
+        put(spark, store, 30 * i, 30 * i + 20)
+    want = answer(c)
+    while store.consolidate("r", "min_key"):
+        pass
+    counts = [x["count"] for x in store.manifest.state().chunks["r"].values()]
+    assert answer(c) == want and sum(counts) == 240 and max(counts) <= store.chunk_rows
+
+
+def test_attributes_of_repeated_keys(spark):
+    table = spark.createDataFrame([(1, "b", 0), (1, "a", 9), (2, None, 0), (2, "c", 1)], "id int, name string, x int").repartition(4)
+    assert sorted(map(tuple, Attribute(table, {"k": "id"}, "name").rows().collect()), key=repr) == [(1, "a", 9), (2, None, 0)]
+
+
+def test_regexp_takes_the_whole_value(spark):
+    df = spark.createDataFrame([("ab",), ("ab\n",), ("xab",), (None,)], "s string")
+    at = lambda p: [r["s"] for r in df.where(P.regexp("s", p).column({"s": F.col("s")})).collect()]
+    assert at("a.") == ["ab"] and at("ab|null") == ["ab", None] and at("(?s)ab.") == ["ab\n"]

@@ -106,3 +106,10 @@ def test_store(spark):
     assert rows_(gone.upload(df({"mx": 1}, 4))) == {"mx": 23, "test": 4, "only": 47}
     assert {r["key"] for r in s.download(F.lit(4)).collect()} == set() and s.download().count() == 3
     assert rows_(crdt.Store.cluster([s, crdt.Store({"state": F.max}, df({"mx": 99}, 9))])) == {"mx": 99, "test": 4, "only": 47}
+
+
+def test_map_rows(spark):
+    df = spark.range(10, numPartitions=3)
+    out = D.map_rows(df, lambda b: b[b.id % 2 == 0].assign(twice=lambda x: 2 * x.id), "id bigint, twice bigint")
+    assert sorted(map(tuple, out.collect())) == [(i, 2 * i) for i in range(0, 10, 2)]
+    assert D.map_rows(df.limit(0), lambda b: b.assign(twice=b.id), "id bigint, twice bigint").collect() == []
